@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from . import queries_a
+from . import queries_a, queries_b
 
-QUERIES = {"op2_simhash": queries_a.op2_simhash}
+QUERIES = {
+    "op1_token_ids": queries_b.op1_token_ids,
+    "op2_simhash": queries_a.op2_simhash,
+    "op5_token_counts": queries_b.op5_token_counts,
+    "op8_byte_bpe": queries_b.op8_byte_bpe,
+}
 ORACLE: dict[str, str] = {}
