@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import queries_a, queries_b
+from . import queries_a, queries_b, queries_c
 
 QUERIES = {
     "op1_token_ids": queries_b.op1_token_ids,
     "op2_simhash": queries_a.op2_simhash,
+    "op3_decontamination": queries_c.op3_decontamination,
     "op5_token_counts": queries_b.op5_token_counts,
+    "op7_language": queries_c.op7_language,
     "op8_byte_bpe": queries_b.op8_byte_bpe,
+    "op10_minhash": queries_c.op10_minhash,
 }
 ORACLE: dict[str, str] = {}
