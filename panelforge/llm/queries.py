@@ -11,6 +11,7 @@ QUERIES = {
     "op5_token_counts": queries_b.op5_token_counts,
     "op7_language": queries_c.op7_language,
     "op8_byte_bpe": queries_b.op8_byte_bpe,
+    "op9_line_dedup": queries_c.op9_line_dedup,
     "op10_minhash": queries_c.op10_minhash,
 }
 ORACLE: dict[str, str] = {}

@@ -35,3 +35,10 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = fit(docs.where(~held_out()))
     return predict(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import classify_lines
+
+    found = classify_lines(documents(spark, sf_dir))
+    return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed", "classes", "n_links")
