@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 import functools
-import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +32,7 @@ class PrefixBPE:
         for token, rank in ranks.items():
             self.tokens[rank] = token
         self.longest = max(map(len, ranks), default=0)
-        self._stable: dict[tuple[int, int], bool] = {}
+        self._stable: dict[int, bool] = {}
         self._whole: dict[int, bool] = {}
 
     def merge(self, piece: bytes) -> list[int]:
@@ -54,9 +53,9 @@ class PrefixBPE:
 
     def stable(self, left: int, right: int) -> bool:
         """Whether merging the bytes of the two tokens gives the two tokens."""
-        key = (left, right)
+        key = left * len(self.tokens) + right
         if (known := self._stable.get(key)) is None:
-            if len(self._stable) > 2_000_000:
+            if len(self._stable) > 400_000:
                 self._stable.clear()
             known = self._stable[key] = self.merge(self.tokens[left] + self.tokens[right]) == [left, right]
         return known
@@ -144,8 +143,13 @@ def decode_ids(ids: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
     return flat[np.arange(total[-1]) + np.repeat(begin[ids] - total[:-1], sizes)], total
 
 
-def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids): the ids of each whole text, little-endian unsigned 32-bit integers in a binary column.
+def cut(flat: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    raw, ends = flat.tobytes(), (ends * flat.itemsize).tolist()
+    return [raw[x:y] for x, y in zip([0, *ends[:-1]], ends)]
+
+
+def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = False) -> DataFrame:
+    """(doc_id, ids), and with decode the bytes that the ids stand for; ids: little-endian unsigned 32-bit integers.
 
     A null or empty text has no ids; a row with a null id, and each repeated row, has a result of its own; an empty
     table gives an empty result. Only the two named columns are read.
@@ -157,26 +161,24 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in slices(texts):
                 ids, counts = encode_texts(texts[a:b], path)
-                raw, ends = ids.astype("<u4").tobytes(), np.cumsum(counts) * 4
-                out = [raw[x:y] for x, y in zip([0, *ends[:-1].tolist()], ends.tolist())]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(out, pa.binary())], ["doc_id", "ids"])
+                ends = np.cumsum(counts)
+                columns = [batch.column(0).slice(a, b - a), pa.array(cut(ids.astype("<u4"), ends), pa.binary())]
+                if decode:
+                    data, total = decode_ids(ids, path)
+                    columns.append(pa.array(cut(data, total[ends]), pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "bytes"][: len(columns)])
 
-    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, ids binary")
+    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, ids binary" + ", bytes binary" * decode)
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
-    """(doc_id, ids, bytes): encoded documents with the bytes that their ids stand for."""
+    """(doc_id, ids, bytes): encoded documents with the bytes that their ids stand for; null ids stand for none."""
 
     def run(batches):
         for batch in batches:
             lists = [np.frombuffer(x or b"", dtype="<u4") for x in batch.column(1).to_pylist()]
             data, total = decode_ids(np.concatenate(lists), path) if lists else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
-            raw, ends = data.tobytes(), total[np.cumsum([len(x) for x in lists], dtype=np.int64)]
-            out = [raw[x:y] for x, y in zip([0, *ends[:-1].tolist()], ends.tolist())]
+            out = cut(data, total[np.cumsum([len(x) for x in lists], dtype=np.int64)])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], ["doc_id", "ids", "bytes"])
 
     return encoded.mapInArrow(run, f"doc_id {dict(encoded.dtypes)['doc_id']}, ids binary, bytes binary")
-
-
-def digest(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()

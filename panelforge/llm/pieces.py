@@ -102,7 +102,7 @@ class PieceIds:
     encode takes a list of pieces and returns a list of lists of ids.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 1_000_000):
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 300_000):
         self.encode, self.most = encode, most
         self.clear()
 
@@ -147,7 +147,7 @@ class PieceIds:
         return self.flat[where], np.diff(total[np.cumsum(counts)], prepend=0)
 
 
-def slices(texts: list[str], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def slices(texts: list[str], most: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about `most` characters; a longer text stands alone."""
     begin = size = 0
     for i, t in enumerate(texts):

@@ -34,8 +34,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .bpe import decode_documents, encode_documents
+    from .bpe import encode_documents
 
-    path = tokenizer_path("byte_bpe_multi_50k.tiktoken")
-    coded = decode_documents(encode_documents(documents(spark, sf_dir), path), path)
+    coded = encode_documents(documents(spark, sf_dir), tokenizer_path("byte_bpe_multi_50k.tiktoken"), decode=True)
     return coded.select("doc_id", F.expr("CAST(octet_length(ids) / 4 AS BIGINT)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
