@@ -8,7 +8,9 @@ QUERIES = {
     "op1_token_ids": queries_b.op1_token_ids,
     "op2_simhash": queries_a.op2_simhash,
     "op3_decontamination": queries_c.op3_decontamination,
+    "op4_suffix_arrays": queries_c.op4_suffix_arrays,
     "op5_token_counts": queries_b.op5_token_counts,
+    "op6_passages": queries_c.op6_passages,
     "op7_language": queries_c.op7_language,
     "op8_byte_bpe": queries_b.op8_byte_bpe,
     "op9_line_dedup": queries_c.op9_line_dedup,

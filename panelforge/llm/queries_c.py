@@ -42,3 +42,17 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = classify_lines(documents(spark, sf_dir))
     return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed", "classes", "n_links")
+
+
+def op4_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixes import removed, repeated_spans
+
+    return removed(repeated_spans(documents(spark, sf_dir))).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .passages import fuzzy_passages
+
+    found = fuzzy_passages(documents(spark, sf_dir))
+    sources = F.array_sort(F.array_distinct(F.transform("passages", lambda p: p["source"])))
+    return found.select("doc_id", "n_words", F.size("passages").cast("long").alias("n_passages"), sources.alias("sources"), "passages")
