@@ -15,6 +15,8 @@ from .cluster import connected_components, through_table
 #: A bucket of more fingerprints than this is linked by two-wildcard keys, which is exact and linear, not by pairs.
 BUCKET = 1024
 SHINGLE = 3
+#: Keys that a broadcast may hold; more go through a shuffle.
+BROADCAST_ROWS = 2_000_000
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -33,16 +35,16 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) for each row of docs. A null text has no words, so its fingerprint is 0."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    """(doc_id, th, fp) for each row of docs; th is a hash of the text. A null text has no words, so its fingerprint is 0."""
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
 
     def run(batches):
         for batch in batches:
-            fps = [fingerprint(b"" if t is None else t.encode()) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            fps = [fingerprint(b"" if t is None else t.encode()) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], ["doc_id", "th", "fp"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.mapInArrow(run, f"doc_id {kind}, th long, fp long")
 
 
 def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
@@ -85,7 +87,7 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
-    """One row for each row of docs: doc_id, fp, component_id (the smallest doc_id reachable over links).
+    """One row for each row of docs: doc_id, th (a hash of the text), fp, component_id (the smallest doc_id reachable over links).
 
     Nulls: a null text has fingerprint 0, which is linked like any other; a row with a null id keeps it, and takes
     part in links, but can't name a component unless no row of the component has an id. Repeated rows and ties share a
@@ -97,4 +99,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = roots.join(distinct, F.col("vertex") == F.col("fp")).groupBy("root").agg(F.min("least").alias("best"))
     linked = roots.join(named, "root").select(F.col("vertex").alias("fp"), "best")
     labels = through_table(distinct.join(linked, "fp", "left").select("fp", F.coalesce("best", "least").alias("component_id")), "simhash-labels")
-    return fps.join(labels, "fp").select("doc_id", "fp", "component_id")
+    return fps.join(labels, "fp").select("doc_id", "th", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs without near-duplicates: of each component the row of the smallest id (rows without one come last,
+    and equal ids are in the order of a hash of their texts); of rows that repeat an id and a text, one."""
+    found = through_table(near_duplicates(docs, id_col, text_col), "simhash-found")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    # a component has one name, or none if no row of it has an id: then its fingerprints' rows stand for themselves
+    name = [F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fp"))]
+    best = found.groupBy(*[c.alias(n) for c, n in zip(name, ("c", "f"))]).agg(F.min(place).alias("best"), F.count("*").alias("n")).where("n > 1")
+    met = found.join(best, F.col("c").eqNullSafe(name[0]) & F.col("f").eqNullSafe(name[1]))
+    rows = through_table(met.groupBy("doc_id", "th").agg(F.max(place != F.col("best")).alias("gone"), F.count("*").alias("n")).where("gone or n > 1"), "simhash-gone")
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.xxhash64(f"`{text_col}`") == F.col("__th"))
+    marks = [rows.where(w).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")) for w in ("gone", "not gone")]
+    gone, repeated = (F.broadcast(m) if m.count() <= BROADCAST_ROWS else m for m in marks)
+    left = docs.join(gone, same, "left_anti")
+    if not marks[1].isEmpty():
+        left = left.join(repeated, same, "left_anti").unionByName(left.join(repeated, same, "left_semi").dropDuplicates([id_col, text_col]))
+    return left
