@@ -1,0 +1 @@
+"""Queries of the engine's operators, each with its SQL twin where there is one."""
