@@ -20,29 +20,40 @@ LEAST_CHARS = 20
 BROADCAST_ROWS = 2_000_000
 
 
-def segments(edits: int) -> tuple[list[str], list[str]]:
-    """SQL for the index keys of a line, and for its probe keys; n is its length. A key that can't be is null."""
+def segments(edits: int) -> tuple[str, str]:
+    """SQL for the arrays of index keys and of probe keys of `line`; n is its length.
+
+    The places are data, so the expressions stay small enough to be compiled: unrolled, they made methods that the JVM
+    only interprets.
+    """
     parts = edits + 1
+    # start (from 1) and length of segment x.i of a line of n - x.less: the later ones take what doesn't divide evenly
+    length = "(n - x.less)"
+    late = f"(x.i - {parts} + {length} % {parts})"
+    start = f"(1 + x.i * ({length} div {parts}) + greatest(0, {late}) + x.shift)"
+    size = f"({length} div {parts} + IF({late} >= 0, 1, 0))"
+    key = f"xxhash64({length}, x.i, substring(line, CAST({start} AS INT), CAST({size} AS INT)))"
+    own = ", ".join(f"struct(0 AS less, {i} AS i, 0 AS shift)" for i in range(parts))
+    tries = [(less, i, shift) for less in range(parts) for i in range(parts) for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1)]
+    tried = ", ".join(f"struct({less} AS less, {i} AS i, {shift} AS shift)" for less, i, shift in tries)
+    fits = f"{length} >= {LEAST_CHARS} AND {start} >= 1 AND {start} + {size} - 1 <= n"
+    return f"transform(array({own}), x -> {key})", f"array_distinct(transform(filter(array({tried}), x -> {fits}), x -> {key}))"
+
+
+#: Letters whose counts bound the edit distance from below: an edit changes two counts by one, at most.
+LETTERS = "etaoinshrdlu"
+
 
-    def cut(length: str, i: int) -> tuple[str, str]:
-        """Start (from 1) and length of segment i (from 0): the later ones take what doesn't divide evenly."""
-        short, extra = f"({length} div {parts})", f"({length} % {parts})"
-        return f"(1 + {i} * {short} + greatest(0, {i} - ({parts} - {extra})))", f"({short} + IF({i} >= {parts} - {extra}, 1, 0))"
+def letter_counts() -> str:
+    """SQL: how often `line` has each of LETTERS, modulo 32, five bits each."""
+    letters = ", ".join(f"'{c}'" for c in LETTERS)
+    return f"aggregate(array({letters}), 0L, (s, c) -> s * 32L + (octet_length(line) - octet_length(replace(line, c, ''))) % 32)"
 
-    def key(length: str, i: int, start: str, size: str) -> str:
-        return f"xxhash64({length}, {i}, substring(line, {start}, {size}))"
 
-    index = [key("n", i, *cut("n", i)) for i in range(parts)]
-    probes = []
-    for less in range(edits + 1):
-        length = f"(n - {less})" if less else "n"
-        for i in range(parts):
-            start, size = cut(length, i)
-            low, high = max(-i, less - (edits - i)), min(i, less + (edits - i))
-            for shift in range(low, high + 1):
-                at = f"({start} + {shift})" if shift else start
-                probes.append(f"IF({length} >= {LEAST_CHARS} AND {at} >= 1 AND {at} + {size} - 1 <= n, {key(length, i, at, size)}, NULL)")
-    return index, probes
+def letters_apart(a: str, b: str) -> str:
+    """SQL: a lower bound on twice the edits between two lines, from their letter counts."""
+    each = [f"abs((shiftright({a}, {5 * i}) & 31L) - (shiftright({b}, {5 * i}) & 31L))" for i in range(len(LETTERS))]
+    return " + ".join(f"least({d}, 32L - {d})" for d in each)
 
 
 def distance(edits: int, a: str = "a", b: str = "b") -> str:
@@ -73,16 +84,17 @@ def line_rows(docs: DataFrame) -> DataFrame:
 def links(docs: DataFrame, edits: int = EDITS) -> tuple[DataFrame, DataFrame]:
     """(distinct lines, links between them). Lines: h1, h2, copies, first (the place of the first one). Links: the hashes
     a1, a2, b1, b2 of the two lines, and edits."""
-    index, probes = segments(edits)
     rows = line_rows(docs).withColumn("n", F.char_length("line"))
-    keys = F.expr(f"IF(n >= {LEAST_CHARS}, array({', '.join(index + probes)}), NULL)")
+    index, probes = (F.expr(f"IF(n >= {LEAST_CHARS}, {keys}, NULL)") for keys in segments(edits))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "dh", "pos")
-    lines = rows.select("h1", "h2", place.alias("place"), keys.alias("keys")).groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count("*").alias("copies"), F.first("keys").alias("keys"))
+    held = F.struct(index.alias("index"), probes.alias("probes"), F.expr(letter_counts()).alias("letters")).alias("keys")
+    lines = rows.select("h1", "h2", place.alias("place"), held).groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count("*").alias("copies"), F.first("keys").alias("keys"))
     lines = through_table(lines, "lines")
-    near = lines.where("keys is not null")
-    stored = near.select(F.col("h1").alias("a"), F.explode(F.slice("keys", 1, edits + 1)).alias("key"))
-    probed = near.select(F.col("h1").alias("b"), F.explode(F.expr(f"array_distinct(filter(slice(keys, {edits + 2}, {len(probes)}), k -> k is not null))")).alias("key"))
-    met = stored.join(probed, "key").where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    near = lines.where("keys.index is not null")
+    stored = near.select(F.col("h1").alias("a"), F.col("keys.letters").alias("la"), F.explode("keys.index").alias("key"))
+    probed = near.select(F.col("h1").alias("b"), F.col("keys.letters").alias("lb"), F.explode("keys.probes").alias("key"))
+    # the letter counts turn away, within the join, most lines that share a segment and nothing more
+    met = stored.join(probed, "key").where("a != b").where(f"{letters_apart('la', 'lb')} <= {2 * edits}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     met = through_table(met, "line-pairs")
     wanted = through_table(met.select(F.col("a").alias("h1")).union(met.select("b")).distinct(), "line-wanted")
     few = wanted.count() <= BROADCAST_ROWS
