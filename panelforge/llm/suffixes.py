@@ -33,7 +33,7 @@ from .text import encoded, splitmix
 
 LENGTH, WORD = 50, 16
 #: Bytes of text of a slice, and of anchors and stretches that go to one bucket.
-SLICE_BYTES, ANCHOR_BUCKET, STRETCH_BUCKET = 4_000_000, 24_000_000, 2_000_000
+SLICE_BYTES, ANCHOR_BUCKET, STRETCH_BUCKET = 2_000_000, 24_000_000, 2_000_000
 #: An anchor that occurs more often is split by the hash of each string.
 HOT = 20_000
 #: Between strings: a byte that UTF-8 never has.
@@ -67,6 +67,7 @@ def anchors(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH) -> tuple
     mixed ^= mixed >> np.uint64(29)
     mixed *= np.uint64(0xBF58476D1CE4E5B9)
     mixed ^= mixed >> np.uint64(32)
+    del low
     least = (mixed << np.uint64(32)) | np.arange(len(mixed), dtype=np.uint64)
     window, wide = length - WORD + 1, 1
     while 2 * wide <= window:
@@ -74,7 +75,8 @@ def anchors(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH) -> tuple
         wide *= 2
     if wide < window:
         least = np.minimum(least[: len(least) - (window - wide)], least[window - wide :])
-    where = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    where = (least & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    del least
     whole = np.zeros(len(where) + 1, np.int8)  # starts of strings that end in their document
     size = np.diff(bounds)
     np.add.at(whole, bounds[:-1][size >= length], 1)
