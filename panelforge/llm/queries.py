@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries_a, queries_b, queries_c
+from . import oracle, queries_a, queries_b, queries_c
 
 QUERIES = {
     "op1_token_ids": queries_b.op1_token_ids,
@@ -16,4 +16,4 @@ QUERIES = {
     "op9_line_dedup": queries_c.op9_line_dedup,
     "op10_minhash": queries_c.op10_minhash,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op3_decontamination": oracle.OP3, "op4_suffix_arrays": oracle.OP4}
