@@ -17,6 +17,7 @@ over expansion lengths finds the symbols that cover the range, and only those ar
 from __future__ import annotations
 
 import functools
+import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -158,17 +159,29 @@ class Block:
         return self.expand(self.symbols), ends[self.first]
 
 
+def byte_alphabet() -> dict[int, str]:
+    """The character that stands for each byte in byte-level vocabularies: printable ones for themselves, others from 256 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 @functools.lru_cache(maxsize=2)
 def library(path: str) -> tuple[PieceIds, int]:
-    """The tokenizers library behind a cache of pieces; and the size of the vocabulary."""
-    import os
+    """The tokenizers library behind a cache of pieces; and the size of the vocabulary.
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    Pieces go to the library's model, which skips its splitting; so the file must be byte-level with the usual pattern.
+    """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return PieceIds(lambda pieces: [e.ids for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]), tokenizer.get_vocab_size()
+    config = json.loads(tokenizer.to_str())
+    split = config["pre_tokenizer"] or {}
+    if config["normalizer"] is not None or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex"):
+        raise ValueError(f"{path} is not a plain byte-level tokenizer")
+    tokenize, alphabet = tokenizer.model.tokenize, byte_alphabet()
+    encode = lambda pieces: [[t.id for t in tokenize(p.encode().decode("latin-1").translate(alphabet))] for p in pieces]
+    return PieceIds(encode, most=800_000), tokenizer.get_vocab_size()
 
 
 def write_ids(docs: DataFrame, path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", block_ids: int = BLOCK_IDS) -> str:
