@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .cluster import through_table
 
-EDITS = 2
+EDITS = 2  # at most 7: lengths are told apart modulo 8
 #: Shorter lines are copies only of equal lines: two edits make another line of them.
 LEAST_CHARS = 20
 #: Keys that a broadcast may hold; more go through a shuffle.
@@ -21,7 +21,8 @@ BROADCAST_ROWS = 2_000_000
 
 
 def segments(edits: int) -> tuple[str, str]:
-    """SQL for the arrays of index keys and of probe keys of `line`; n is its length.
+    """SQL for the arrays of index keys and of probe keys of `line`; n is its length. Segments are cut from its UTF-32
+    bytes, where a place is found without reading up to it.
 
     The places are data, so the expressions stay small enough to be compiled: unrolled, they made methods that the JVM
     only interprets.
@@ -32,27 +33,28 @@ def segments(edits: int) -> tuple[str, str]:
     late = f"(x.i - {parts} + {length} % {parts})"
     start = f"(1 + x.i * ({length} div {parts}) + greatest(0, {late}) + x.shift)"
     size = f"({length} div {parts} + IF({late} >= 0, 1, 0))"
-    key = f"xxhash64({length}, x.i, substring(line, CAST({start} AS INT), CAST({size} AS INT)))"
+    key = f"xxhash64({length}, x.i, substring(wide, CAST(4 * {start} - 3 AS INT), CAST(4 * {size} AS INT)))"
+    held = "transform(array(encode(line, 'UTF-32')), wide -> {0})[0]"
     own = ", ".join(f"struct(0 AS less, {i} AS i, 0 AS shift)" for i in range(parts))
     tries = [(less, i, shift) for less in range(parts) for i in range(parts) for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1)]
     tried = ", ".join(f"struct({less} AS less, {i} AS i, {shift} AS shift)" for less, i, shift in tries)
     fits = f"{length} >= {LEAST_CHARS} AND {start} >= 1 AND {start} + {size} - 1 <= n"
-    return f"transform(array({own}), x -> {key})", f"array_distinct(transform(filter(array({tried}), x -> {fits}), x -> {key}))"
+    return held.format(f"transform(array({own}), x -> {key})"), held.format(f"transform(filter(array({tried}), x -> {fits}), x -> {key})")
 
 
 #: Letters whose counts bound the edit distance from below: an edit changes two counts by one, at most.
-LETTERS = "etaoinshrdlu"
+LETTERS = "etaoinshrd"
 
 
 def letter_counts() -> str:
-    """SQL: how often `line` has each of LETTERS, modulo 32, five bits each."""
+    """SQL: the length of `line` modulo 8, and above it how often it has each of LETTERS, modulo 32, five bits each."""
     letters = ", ".join(f"'{c}'" for c in LETTERS)
-    return f"aggregate(array({letters}), 0L, (s, c) -> s * 32L + (octet_length(line) - octet_length(replace(line, c, ''))) % 32)"
+    return f"aggregate(array({letters}), 0L, (s, c) -> s * 32L + (octet_length(line) - octet_length(replace(line, c, ''))) % 32) * 8L + n % 8"
 
 
 def letters_apart(a: str, b: str) -> str:
     """SQL: a lower bound on twice the edits between two lines, from their letter counts."""
-    each = [f"abs((shiftright({a}, {5 * i}) & 31L) - (shiftright({b}, {5 * i}) & 31L))" for i in range(len(LETTERS))]
+    each = [f"abs((shiftright({a}, {5 * i + 3}) & 31L) - (shiftright({b}, {5 * i + 3}) & 31L))" for i in range(len(LETTERS))]
     return " + ".join(f"least({d}, 32L - {d})" for d in each)
 
 
@@ -93,8 +95,9 @@ def links(docs: DataFrame, edits: int = EDITS) -> tuple[DataFrame, DataFrame]:
     near = lines.where("keys.index is not null")
     stored = near.select(F.col("h1").alias("a"), F.col("keys.letters").alias("la"), F.explode("keys.index").alias("key"))
     probed = near.select(F.col("h1").alias("b"), F.col("keys.letters").alias("lb"), F.explode("keys.probes").alias("key"))
-    # the letter counts turn away, within the join, most lines that share a segment and nothing more
-    met = stored.join(probed, "key").where("a != b").where(f"{letters_apart('la', 'lb')} <= {2 * edits}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # the letter counts turn away, within the join, most lines that share a segment and nothing more; of two lines of one
+    # length (their lengths differ by less than 8), each finds the other, and once is enough
+    met = stored.join(probed, "key").where("a != b and (a < b or (la & 7L) != (lb & 7L))").where(f"{letters_apart('la', 'lb')} <= {2 * edits}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     met = through_table(met, "line-pairs")
     wanted = through_table(met.select(F.col("a").alias("h1")).union(met.select("b")).distinct(), "line-wanted")
     few = wanted.count() <= BROADCAST_ROWS
