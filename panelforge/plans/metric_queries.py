@@ -96,24 +96,24 @@ def fold_verdicts(t, spark):
     return Q.verdict(d, ["task"], "d", 2000.0, 4).select("task", "verdict")
 
 
-@query(f"""WITH r AS ({RES}), m AS (SELECT task, method, avg(error) AS m, stddev_samp(error) AS sd, count(*) AS n FROM r GROUP BY 1, 2) SELECT method, count(*) AS tasks, round(avg(m), 3) AS mean, min_by(task, struct_pack(m := m, t := task)) AS lowest, max_by(task, struct_pack(m := m, t := task)) AS highest FROM m GROUP BY 1""")
+@query(f"""WITH r AS ({RES}), m AS (SELECT task, method, avg(error) AS m, stddev_samp(error) AS sd, count(*) AS n FROM r GROUP BY 1, 2) SELECT method, count(*) AS tasks, round(avg(m), 6) AS mean, min_by(task, struct_pack(m := m, t := task)) AS lowest, max_by(task, struct_pack(m := m, t := task)) AS highest FROM m GROUP BY 1""")
 def spread_over_tasks(t, spark):
     m = results(t).groupBy("task", "method").agg(F.avg("error").alias("m"))
-    return m.groupBy("method").agg(F.count("*").alias("tasks"), F.round(F.avg("m"), 3).alias("mean"), F.min_by("task", F.struct("m", "task")).alias("lowest"), F.max_by("task", F.struct("m", "task")).alias("highest"))
+    return m.groupBy("method").agg(F.count("*").alias("tasks"), F.round(F.avg("m"), 6).alias("mean"), F.min_by("task", F.struct("m", "task")).alias("lowest"), F.max_by("task", F.struct("m", "task")).alias("highest"))
 
 
-@query(f"WITH r AS ({RES}) SELECT method, task, round(avg(error), 3) AS mean, count(*) AS n FROM r GROUP BY GROUPING SETS ((method, task), (method), ())")
+@query(f"WITH r AS ({RES}) SELECT method, task, round(avg(error), 6) AS mean, count(*) AS n FROM r GROUP BY GROUPING SETS ((method, task), (method), ())")
 def grouping_sets_spread(t, spark):
     r = results(t)
     r.createOrReplaceTempView("__results")
-    return spark.sql("SELECT method, task, round(avg(error), 3) AS mean, count(*) AS n FROM __results GROUP BY GROUPING SETS ((method, task), (method), ())")
+    return spark.sql("SELECT method, task, round(avg(error), 6) AS mean, count(*) AS n FROM __results GROUP BY GROUPING SETS ((method, task), (method), ())")
 
 
-@query(f"WITH r AS ({RES}), m AS (SELECT method, split, avg(error) AS e, count(*) AS n FROM r GROUP BY 1, 2) SELECT method, round(regr_slope(e, log10(split - 1990)), 3) AS slope, round(regr_r2(e, log10(split - 1990)), 5) AS r2, round(max_by(e, split) - min_by(e, split), 3) AS gain FROM m GROUP BY 1")
+@query(f"WITH r AS ({RES}), m AS (SELECT method, split, avg(error) AS e, count(*) AS n FROM r GROUP BY 1, 2) SELECT method, round(regr_slope(e, log10(split - 1990)), 1) AS slope, round(regr_r2(e, log10(split - 1990)), 5) AS r2, round(max_by(e, split) - min_by(e, split), 6) AS gain FROM m GROUP BY 1")
 def curve_shape(t, spark):
     m = results(t).groupBy("method", "split").agg(F.avg("error").alias("e"))
     x = F.log10(F.col("split") - 1990.0)
-    return m.groupBy("method").agg(F.round(F.regr_slope("e", x), 3).alias("slope"), F.round(F.regr_r2("e", x), 5).alias("r2"), F.round(F.max_by("e", "split") - F.min_by("e", "split"), 3).alias("gain"))
+    return m.groupBy("method").agg(F.round(F.regr_slope("e", x), 1).alias("slope"), F.round(F.regr_r2("e", x), 5).alias("r2"), F.round(F.max_by("e", "split") - F.min_by("e", "split"), 6).alias("gain"))
 
 
 @query(f"""WITH s AS ({SC}), a AS (SELECT g, count(*) AS n, CAST(sum(y) AS BIGINT) AS pos FROM s GROUP BY 1) SELECT g, n, pos, least(pos, n - pos) AS minority, round(-n * (pos / CAST(n AS DOUBLE) * log2(pos / CAST(n AS DOUBLE)) + (1 - pos / CAST(n AS DOUBLE)) * log2(1 - pos / CAST(n AS DOUBLE))), 3) AS bits, round(2e0 * n * (pos / CAST(n AS DOUBLE)) * (1 - pos / CAST(n AS DOUBLE)), 3) AS effective FROM a""")
