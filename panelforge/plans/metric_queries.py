@@ -65,12 +65,12 @@ def holm_adjustment(t, spark):
     return M.holm(f, ["p_brand"], "p", "p_partkey").select("p_partkey", r6("p_holm").alias("p_holm"))
 
 
-RES = "SELECT c_nationkey AS task, o_orderpriority AS method, year(o_orderdate) AS split, round(avg(o_totalprice), 2) AS error FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2, 3"
+RES = "SELECT c_nationkey AS task, o_orderpriority AS method, year(o_orderdate) AS split, round(avg(o_totalprice), 6) AS error FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2, 3"
 
 
 def results(t):
     o = t("orders").join(t("customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
-    return o.groupBy(F.col("c_nationkey").alias("task"), F.col("o_orderpriority").alias("method"), F.year("o_orderdate").alias("split")).agg(F.round(F.avg("o_totalprice"), 2).alias("error"))
+    return o.groupBy(F.col("c_nationkey").alias("task"), F.col("o_orderpriority").alias("method"), F.year("o_orderdate").alias("split")).agg(F.round(F.avg("o_totalprice"), 6).alias("error"))
 
 
 @query(f"WITH r AS ({RES}) SELECT a.method AS a, b.method AS b, CAST(sum(CASE WHEN a.error < b.error THEN 1e0 WHEN a.error = b.error THEN 5e-1 ELSE 0e0 END) AS DOUBLE) AS wins, count(*) AS played FROM r a JOIN r b USING (task, split) WHERE a.method != b.method GROUP BY 1, 2")
