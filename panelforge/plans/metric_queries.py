@@ -102,11 +102,11 @@ def spread_over_tasks(t, spark):
     return m.groupBy("method").agg(F.count("*").alias("tasks"), F.round(F.avg("m"), 4).alias("mean"), F.min_by("task", F.struct("m", "task")).alias("lowest"), F.max_by("task", F.struct("m", "task")).alias("highest"))
 
 
-@query(f"WITH r AS ({RES}) SELECT method, task, round(avg(error), 4) AS mean, count(*) AS n FROM r GROUP BY GROUPING SETS ((method, task), (method), ())")
+@query(f"WITH r AS ({RES}) SELECT method, task, round(sum(error), 6) AS total, count(*) AS n FROM r GROUP BY GROUPING SETS ((method, task), (method), ())")
 def grouping_sets_spread(t, spark):
     r = results(t)
     r.createOrReplaceTempView("__results")
-    return spark.sql("SELECT method, task, round(avg(error), 4) AS mean, count(*) AS n FROM __results GROUP BY GROUPING SETS ((method, task), (method), ())")
+    return spark.sql("SELECT method, task, round(sum(error), 6) AS total, count(*) AS n FROM __results GROUP BY GROUPING SETS ((method, task), (method), ())")
 
 
 @query(f"WITH r AS ({RES}), m AS (SELECT method, split, avg(error) AS e, count(*) AS n FROM r GROUP BY 1, 2) SELECT method, round(regr_slope(e, log10(split - 1990)), 1) AS slope, round(regr_r2(e, log10(split - 1990)), 5) AS r2, round(max_by(e, split) - min_by(e, split), 6) AS gain FROM m GROUP BY 1")
