@@ -20,7 +20,7 @@ import functools
 import json
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -166,11 +166,30 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+class TextIds:
+    """The ids of texts: by pieces, and those of texts that hold an added token, which pieces would split, by the library."""
+
+    def __init__(self, pieces: PieceIds, whole: Callable[[str], list[int]], added: list[str]):
+        self.pieces, self.whole, self.added = pieces, whole, added
+
+    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in one array, and how many each text has."""
+        apart = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
+        if not apart:
+            return self.pieces.ids(texts)
+        found = {i: np.array(self.whole(texts[i]), np.uint32) for i in apart}
+        flat, counts = self.pieces.ids(["" if i in found else t for i, t in enumerate(texts)])
+        lists = np.split(flat, np.cumsum(counts)[:-1])
+        lists = [found.get(i, x) for i, x in enumerate(lists)]
+        return np.concatenate(lists), np.array([len(x) for x in lists])
+
+
 @functools.lru_cache(maxsize=2)
-def library(path: str) -> tuple[PieceIds, int]:
+def library(path: str) -> tuple[TextIds, int]:
     """The tokenizers library behind a cache of pieces; and the size of the vocabulary.
 
     Pieces go to the library's model, which skips its splitting; so the file must be byte-level with the usual pattern.
+    Texts that hold an added token go to the library whole.
     """
     from tokenizers import Tokenizer
 
@@ -181,7 +200,11 @@ def library(path: str) -> tuple[PieceIds, int]:
         raise ValueError(f"{path} is not a plain byte-level tokenizer")
     tokenize, alphabet = tokenizer.model.tokenize, byte_alphabet()
     encode = lambda pieces: [[t.id for t in tokenize(p.encode().decode("latin-1").translate(alphabet))] for p in pieces]
-    return PieceIds(encode, most=800_000), tokenizer.get_vocab_size()
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    whole = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+    added = [t["content"] for t in config["added_tokens"]]
+    return TextIds(PieceIds(encode, most=800_000), whole, added), tokenizer.get_vocab_size()
 
 
 def write_ids(docs: DataFrame, path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", block_ids: int = BLOCK_IDS) -> str:

@@ -43,6 +43,18 @@ def test_file_of_documents(spark, docs):
     assert len(got) == docs.count()
 
 
+def test_added_tokens_are_the_librarys(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(PATH)
+    texts = ["plain text", "end <|endoftext|> next", "", "<|endoftext|>", "a<|endoftext|><|endoftext|>b", "<|endoftext|", "last one"]
+    want = [[*tokenizer.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    assert want[1] == [437, 220, 50256, 1306, 0]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1)
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in repair.decode_file(spark, repair.write_ids(df, PATH)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_nulls_repeats_and_no_rows(spark):
     rows = [(None, "a b"), (1, None), (1, None), (2, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
