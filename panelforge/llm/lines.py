@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import through_table
+from .cluster import connected_components, through_table
 
 EDITS = 2  # at most 7: lengths are told apart modulo 8
 #: Shorter lines are copies only of equal lines: two edits make another line of them.
@@ -108,7 +108,7 @@ def links(docs: DataFrame, edits: int = EDITS) -> tuple[DataFrame, DataFrame]:
     return lines.drop("keys"), through_table(checked, "line-links")
 
 
-def classify_lines(docs: DataFrame, edits: int = EDITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classify_lines(docs: DataFrame, edits: int = EDITS, id_col: str = "doc_id", text_col: str = "text", components: bool = False) -> DataFrame:
     """One row for each row of docs: doc_id, dh, n_lines, removed (positions of lines to remove), classes, n_links.
 
     A line is removed if an equal line, or one within `edits` edits (both of LEAST_CHARS characters or more), stands
@@ -125,21 +125,38 @@ def classify_lines(docs: DataFrame, edits: int = EDITS, id_col: str = "doc_id",
     best = both.join(other, ["b1", "b2"]).groupBy(F.col("a1").alias("h1"), F.col("a2").alias("h2")).agg(F.min("other").alias("near"), F.count("*").alias("links"))
     # only lines that have copies or links need a verdict
     verdict = lines.join(best, ["h1", "h2"], "left").where("copies > 1 or links > 0")
-    verdict = through_table(verdict.select("h1", "h2", "first", "near", F.coalesce("links", F.lit(0)).alias("links")), "line-verdicts")
+    if components:
+        # a vertex is a line by both of its hashes
+        vertex = lambda x: F.struct(F.col(f"{x}1").alias("h1"), F.col(f"{x}2").alias("h2"))
+        roots = connected_components(near.select(vertex("a").alias("a"), vertex("b").alias("b")))
+        roots = through_table(roots.select("vertex.*", "root"), "line-roots")
+        named = roots.join(lines, ["h1", "h2"]).groupBy("root").agg(F.min("first").alias("reached"))
+        verdict = verdict.join(roots.join(named, "root").select("h1", "h2", "reached"), ["h1", "h2"], "left")
+    reached = F.coalesce("reached", "first") if components else F.col("first")
+    verdict = through_table(verdict.select("h1", "h2", "first", "near", F.coalesce("links", F.lit(0)).alias("links"), reached.alias("reached")), "line-verdicts")
     rows = line_rows(docs).select("doc_id", "dh", "pos", "h1", "h2").distinct()
     judged = rows.join(verdict, ["h1", "h2"]).select(
-        "doc_id", "dh", "pos", "links", F.least("first", "near").alias("class"),
+        "doc_id", "dh", "pos", "links", F.least("first", "near").alias("class"), "reached",
         (F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "dh", "pos") > F.least("first", "near")).alias("gone"),
     )
     by_doc = judged.groupBy("doc_id", "dh").agg(
         F.sort_array(F.collect_list(F.when(F.col("gone"), F.col("pos")))).alias("removed"), F.sum("links").alias("n_links"),
         F.map_from_entries(F.collect_list(F.struct("pos", F.col("class.doc_id").alias("class")))).alias("other"),
+        *[F.map_from_entries(F.collect_list(F.struct("pos", F.col("reached.doc_id").alias("reached")))).alias("far")] * components,
     ).withColumnsRenamed({"doc_id": "d", "dh": "h"})
     text = F.split("text", "\n", -1)
     own = docs.select("doc_id", F.xxhash64("text").alias("dh"), F.when(F.col("text").isNull(), 0).otherwise(F.size(text)).cast("long").alias("n_lines"), F.transform(text, lambda x: x.rlike("[^\\s]")).alias("solid"))
     found = own.join(by_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("dh") == F.col("h")), "left")
-    classes = F.expr("transform(coalesce(solid, array()), (s, i) -> IF(s, IF(map_contains_key(coalesce(other, map()), i), other[i], doc_id), NULL))")
-    return found.select("doc_id", "dh", "n_lines", F.coalesce("removed", F.expr("array()").cast("array<int>")).alias("removed"), classes.alias("classes"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    named = "transform(coalesce(solid, array()), (s, i) -> IF(s, IF(map_contains_key(coalesce({0}, map()), i), {0}[i], doc_id), NULL))"
+    classes, more = F.expr(named.format("other")), [F.expr(named.format("far")).alias("components")] * components
+    return found.select("doc_id", "dh", "n_lines", F.coalesce("removed", F.expr("array()").cast("array<int>")).alias("removed"), classes.alias("classes"), F.coalesce("n_links", F.lit(0)).alias("n_links"), *more)
+
+
+def line_components(docs: DataFrame, edits: int = EDITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows and columns of classify_lines, and components: for each line, the doc_id of the first of all lines that it
+    reaches over equal lines and links (blank lines: null). Lines that are linked are always of one component.
+    """
+    return classify_lines(docs, edits, id_col, text_col, components=True)
 
 
 def remove_lines(docs: DataFrame, edits: int = EDITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -38,10 +38,10 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .lines import classify_lines
+    from .lines import line_components
 
-    found = classify_lines(documents(spark, sf_dir))
-    return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed", "classes", "n_links")
+    found = line_components(documents(spark, sf_dir))
+    return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed", "classes", "n_links", "components")
 
 
 def op4_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:

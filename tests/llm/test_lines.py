@@ -65,6 +65,29 @@ def test_classes_equal_brute_force(spark):
     assert kept == {d: None if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if p not in got[d].removed) for d, t in rows}
 
 
+def test_components_lose_no_link(spark):
+    # 1 ~ 2 ~ 3 is a chain of edits; 10 ~ 14 and 13 ~ 12 are two groups that 13 ~ 14 joins; 20 has an equal line only
+    base, other = "a line of quite enough characters", "one more line that has 1234567890"
+    texts = {1: base, 2: base + "xy", 3: base + "xyzw\n\nalone in all of the documents", 10: other, 14: other + "ab", 13: other + "abcd", 12: other + "abcdef", 20: base, 21: None}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.components for r in lines.line_components(docs).collect()}
+    assert got == {1: [1], 2: [1], 3: [1, None, 3], 10: [10], 12: [10], 13: [10], 14: [10], 20: [1], 21: []}
+    rows = make()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    places = sorted((d, p, x) for d, t in rows for p, x in enumerate((t or "").split("\n")) if x.strip())
+    group = list(range(len(places)))
+    pairs = [(i, j) for i in range(len(places)) for j in range(i) if near(places[i][2], places[j][2])]
+    while True:
+        before = list(group)
+        for i, j in pairs:
+            group[i] = group[j] = min(group[i], group[j])
+        if group == before:
+            break
+    want = {(d, p): places[g][0] for (d, p, _), g in zip(places, group)}
+    for r in lines.line_components(docs).collect():
+        assert r.components == [want.get((r.doc_id, p)) for p in range(r.n_lines)]
+
+
 def test_nulls_repeats_and_no_rows(spark):
     line = "a line of more than twenty characters"
     rows = [(None, line), (1, line), (1, line), (2, "x" + line), (None, None)]
