@@ -36,7 +36,7 @@ HEAD = struct.Struct("<4s5I")
 #: Ids of a block before it is closed; a longer document has a block of its own.
 BLOCK_IDS = 2_000_000
 #: A pair becomes a rule if it occurs this often in a block; a round takes pairs within this factor of the block's most frequent.
-LEAST, TIER, ROUNDS = 16, 16, 8
+LEAST, TIER = 16, 16
 
 
 def compress(ids: np.ndarray, first: np.ndarray, base: int, most_rules: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -45,12 +45,10 @@ def compress(ids: np.ndarray, first: np.ndarray, base: int, most_rules: int | No
     Each round counts the adjacent pairs within documents, makes rules of the most frequent ones and replaces their
     occurrences (of overlapping ones, every second from the left), until no pair is frequent.
     """
-    most_rules = max(0, (1 << 16) - base) if most_rules is None else most_rules
+    most_rules = (1 << 32) - base if most_rules is None else most_rules
     symbols, first = ids.astype(np.uint32), first.astype(np.int64)
     rules, lengths = np.zeros((0, 2), np.uint32), np.zeros(0, np.uint32)
-    for _ in range(ROUNDS):
-        if len(symbols) < 2 or len(rules) >= most_rules:
-            break
+    while len(symbols) >= 2 and len(rules) < most_rules:  # a round leaves fewer symbols
         inner = np.ones(len(symbols) - 1, dtype=bool)
         ends = first[1:-1]
         inner[ends[(ends > 0) & (ends < len(symbols))] - 1] = False

@@ -27,6 +27,21 @@ def test_round_trip_and_random_access():
         assert repair.Block(repair.pack(empty, np.array([0, len(empty)]), 500)).document(0).tolist() == empty.tolist()
 
 
+def test_rules_until_no_pair_is_frequent():
+    rng = np.random.default_rng(4)
+    often = np.tile(rng.integers(0, 500, 64), 1 << 13)
+    # more rules than 16 bits have left
+    many = np.tile(rng.permutation(60_000)[:40_000], (17, 1))[:, rng.permutation(40_000)].ravel()
+    for ids, base in ((often, 500), (many, 60_000)):
+        ids, first = ids.astype(np.uint32), np.array([0, len(ids)])
+        symbols, _, rules, _ = repair.compress(ids, first, base)
+        pairs, times = np.unique(symbols[:-1].astype(np.uint64) << np.uint64(32) | symbols[1:], return_counts=True)
+        assert not len(times) or times.max() < repair.LEAST
+        block = repair.Block(repair.pack(ids, first, base))
+        assert block.document(0).tolist() == ids.tolist() and len(block.rules) == len(rules)
+    assert base + len(rules) > 1 << 16
+
+
 def test_file_of_documents(spark, docs):
     from tokenizers import Tokenizer
 
