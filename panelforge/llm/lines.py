@@ -3,7 +3,8 @@
 Two lines within `edits` edits: the shorter one, cut into edits + 1 segments, has a segment that the longer one holds
 unchanged, near the same place. So each distinct line is indexed by its segments, under its length, and probes the
 segments of every length down to its own less `edits`, at the few places that the edits left and right of a segment
-allow. Pairs that meet are verified by a banded bit-parallel edit distance.
+allow. What lines that share a segment have besides is cut and probed in the same way. Pairs that meet are verified by
+a banded bit-parallel edit distance.
 """
 
 from __future__ import annotations
@@ -13,51 +14,69 @@ from pyspark.sql import functions as F
 
 from .cluster import connected_components, through_table
 
-EDITS = 2  # at most 7: lengths are told apart modulo 8
+EDITS = 2
 #: Shorter lines are copies only of equal lines: two edits make another line of them.
 LEAST_CHARS = 20
-#: Keys that a broadcast may hold; more go through a shuffle.
+#: Keys that a broadcast may hold (of wider rows a tenth as many); more go through a shuffle.
 BROADCAST_ROWS = 2_000_000
 
 
-def segments(edits: int) -> tuple[str, str]:
-    """SQL for the arrays of index keys and of probe keys of `line`; n is its length. Segments are cut from its UTF-32
-    bytes, where a place is found without reading up to it.
+def tries(edits: int) -> list[tuple[int, int, int]]:
+    """(less, i, shift): a line probes segment i of the lines that are `less` shorter, `shift` places on from where it
+    stands there. The first edits + 1 are its own segments, which are stored, and probe lines of its own length too."""
+    own = [(0, i, 0) for i in range(edits + 1)]
+    shifts = lambda less, i: range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1)
+    return own + [t for less in range(edits + 1) for i in range(edits + 1) for s in shifts(less, i) if (t := (less, i, s)) not in own]
 
-    The places are data, so the expressions stay small enough to be compiled: unrolled, they made methods that the JVM
-    only interprets.
+
+def cut(edits: int, n: str, less, i, shift) -> tuple[str, str]:
+    """SQL for the start (from 1) and the length of segment i of a line that is `less` shorter than n, `shift` places on;
+    the later segments take what doesn't divide evenly."""
+    length, parts = f"({n} - {less})", edits + 1
+    before = [f"IF({i} > {k}, ({length} + {k}) div {parts}, 0)" if isinstance(i, str) else f"({length} + {k}) div {parts}" for k in range(edits if isinstance(i, str) else i)]
+    return f"CAST({' + '.join(['1', *before])} + {shift} AS INT)", f"CAST(({length} + {i}) div {parts} AS INT)"
+
+
+def segment_keys(edits: int) -> str:
+    """SQL for the array of keys of `line`, of n characters, in the order of tries; null where a probe doesn't fit.
+
+    It stands within an aggregate function, where the compiler cuts the array's elements into methods of their own and
+    only the first of equal lines makes keys.
     """
-    parts = edits + 1
-    # start (from 1) and length of segment x.i of a line of n - x.less: the later ones take what doesn't divide evenly
-    length = "(n - x.less)"
-    late = f"(x.i - {parts} + {length} % {parts})"
-    start = f"(1 + x.i * ({length} div {parts}) + greatest(0, {late}) + x.shift)"
-    size = f"({length} div {parts} + IF({late} >= 0, 1, 0))"
-    key = f"xxhash64({length}, x.i, substring(wide, CAST(4 * {start} - 3 AS INT), CAST(4 * {size} AS INT)))"
-    held = "transform(array(encode(line, 'UTF-32')), wide -> {0})[0]"
-    own = ", ".join(f"struct(0 AS less, {i} AS i, 0 AS shift)" for i in range(parts))
-    tries = [(less, i, shift) for less in range(parts) for i in range(parts) for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1)]
-    tried = ", ".join(f"struct({less} AS less, {i} AS i, {shift} AS shift)" for less, i, shift in tries)
-    fits = f"{length} >= {LEAST_CHARS} AND {start} >= 1 AND {start} + {size} - 1 <= n"
-    return held.format(f"transform(array({own}), x -> {key})"), held.format(f"transform(filter(array({tried}), x -> {fits}), x -> {key})")
+    keys = []
+    for less, i, shift in tries(edits):
+        start, size = cut(edits, "n", less, i, shift)
+        key = f"xxhash64(n - {less}, {i}, substring(line, {start}, {size}))"
+        fits = f"n >= {LEAST_CHARS + less}" + f" AND {start} >= 1 AND {start} + {size} <= n + 1" * (shift != 0)
+        keys.append(f"IF({fits}, {key}, NULL)")
+    return f"array({', '.join(keys)})"
 
 
-#: Letters whose counts bound the edit distance from below: an edit changes two counts by one, at most.
-LETTERS = "etaoinshrd"
+#: Characters whose counts bound the edit distance from below: an edit changes two counts by one, at most.
+COUNTED = ("etaoinshrdlu", "0123456789cm")
 
 
-def letter_counts() -> str:
-    """SQL: the length of `line` modulo 8, and above it how often it has each of LETTERS, modulo 32, five bits each."""
-    letters = ", ".join(f"'{c}'" for c in LETTERS)
-    return f"aggregate(array({letters}), 0L, (s, c) -> s * 32L + (octet_length(line) - octet_length(replace(line, c, ''))) % 32) * 8L + n % 8"
+def letter_counts(letters: str) -> str:
+    """SQL: how often `line` has each of the letters, modulo 32, five bits each."""
+    chars = ", ".join(f"'{c}'" for c in letters)
+    return f"aggregate(array({chars}), 0L, (s, c) -> s * 32L + (octet_length(line) - octet_length(replace(line, c, ''))) % 32)"
 
 
-def letters_apart(a: str, b: str) -> str:
+def letters_apart(pairs: list[tuple[str, str]]) -> str:
     """SQL: a lower bound on twice the edits between two lines, from their letter counts."""
-    each = [f"abs((shiftright({a}, {5 * i + 3}) & 31L) - (shiftright({b}, {5 * i + 3}) & 31L))" for i in range(len(LETTERS))]
+    each = [f"abs((shiftright({a}, {5 * i}) & 31L) - (shiftright({b}, {5 * i}) & 31L))" for (a, b), letters in zip(pairs, COUNTED) for i in range(len(letters))]
     return " + ".join(f"least({d}, 32L - {d})" for d in each)
 
 
+def pieces_lost(edits: int) -> str:
+    """SQL: how many pieces of line la don't stand in line lb within `edits` places; an edit loses one, at most."""
+    n = 4 * (edits + 1)
+    start, end = (f"(1 + ({k}) * char_length(la) div {n})" for k in ("k", "k + 1"))
+    low = f"greatest(1, {start} - {edits})"
+    piece, window = f"substring(la, CAST({start} AS INT), CAST({end} - {start} AS INT))", f"substring(lb, CAST({low} AS INT), CAST({end} + {edits} - {low} AS INT))"
+    return f"aggregate(sequence(0, {n - 1}), 0, (s, k) -> s + IF(instr({window}, {piece}) = 0, 1, 0))"
+
+
 def distance(edits: int, a: str = "a", b: str = "b") -> str:
     """SQL: the edit distance of strings a and b if it is at most `edits`, else some larger number.
 
@@ -80,34 +99,60 @@ def distance(edits: int, a: str = "a", b: str = "b") -> str:
 def line_rows(docs: DataFrame) -> DataFrame:
     """(doc_id, dh, pos, line, h1, h2) for each line that isn't blank; dh is a hash of the text, h1 and h2 of the line."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("dh"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    return rows.where("line rlike '[^\\\\s]'").select("doc_id", "dh", "pos", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.reverse("line"), F.lit(1)).alias("h2"))
+    solid = "ltrim(concat(' ', char(9), char(11), char(12), char(13)), line) != ''"
+    return rows.where(solid).select("doc_id", "dh", "pos", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
 def links(docs: DataFrame, edits: int = EDITS) -> tuple[DataFrame, DataFrame]:
     """(distinct lines, links between them). Lines: h1, h2, copies, first (the place of the first one). Links: the hashes
     a1, a2, b1, b2 of the two lines, and edits."""
     rows = line_rows(docs).withColumn("n", F.char_length("line"))
-    index, probes = (F.expr(f"IF(n >= {LEAST_CHARS}, {keys}, NULL)") for keys in segments(edits))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "dh", "pos")
-    held = F.struct(index.alias("index"), probes.alias("probes"), F.expr(letter_counts()).alias("letters")).alias("keys")
-    lines = rows.select("h1", "h2", place.alias("place"), held).groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count("*").alias("copies"), F.first("keys").alias("keys"))
-    lines = through_table(lines, "lines")
-    near = lines.where("keys.index is not null")
-    stored = near.select(F.col("h1").alias("a"), F.col("keys.letters").alias("la"), F.explode("keys.index").alias("key"))
-    probed = near.select(F.col("h1").alias("b"), F.col("keys.letters").alias("lb"), F.explode("keys.probes").alias("key"))
-    # the letter counts turn away, within the join, most lines that share a segment and nothing more; of two lines of one
-    # length (their lengths differ by less than 8), each finds the other, and once is enough
-    met = stored.join(probed, "key").where("a != b and (a < b or (la & 7L) != (lb & 7L))").where(f"{letters_apart('la', 'lb')} <= {2 * edits}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    met = through_table(met, "line-pairs")
-    wanted = through_table(met.select(F.col("a").alias("h1")).union(met.select("b")).distinct(), "line-wanted")
-    few = wanted.count() <= BROADCAST_ROWS
-    texts = line_rows(docs).join(F.broadcast(wanted) if few else wanted, "h1", "left_semi").select("h1", "h2", "line").distinct()
-    texts = through_table(texts, "line-texts")
+    keys = F.expr(f"first(IF(n >= {LEAST_CHARS}, {segment_keys(edits)}, NULL))")
+    lines = through_table(rows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("copies"), keys.alias("keys")), "lines")
+    # a key goes on if two lines have it: each task sends a key once, so one that all lines have is no task's burden
+    keyed = lines.select("h1", F.posexplode("keys").alias("j", "key")).where("key is not null")
+    shared = through_table(keyed.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo != hi").select("key"), "line-keys")
+    entries = through_table(keyed.join(broadcast_few(shared), "key", "left_semi"), "line-entries")
+    wanted = through_table(entries.select("h1").distinct(), "line-wanted")
+    texts = through_table(line_rows(docs).join(broadcast_few(wanted), "h1", "left_semi").select("h1", "h2", "line").distinct(), "line-texts")
+    met = through_table(meetings(entries, texts, edits), "line-pairs")
     pairs = met.join(texts.select(F.col("h1").alias("a"), F.col("h2").alias("a2"), F.col("line").alias("la")), "a").join(texts.select(F.col("h1").alias("b"), F.col("h2").alias("b2"), F.col("line").alias("lb")), "b")
+    pairs = pairs.where(f"{pieces_lost(edits)} <= {edits}")
     checked = pairs.select(F.col("a").alias("a1"), "a2", F.col("b").alias("b1"), "b2", F.expr(distance(edits, "la", "lb")).alias("edits")).where(f"edits <= {edits}")
     return lines.drop("keys"), through_table(checked, "line-links")
 
 
+def meetings(entries: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
+    """Pairs (a, b) of line hashes that share a segment, share a segment of what the lines have besides, and have like letters.
+
+    The matched segments of two lines are equal, so all edits lie in the rest: cut into segments in its turn, it has one
+    that the other's rest holds. So lines that share a frequent segment and nothing more don't meet.
+    """
+    parts = edits + 1
+    tried = ", ".join(f"struct({less} AS less, {i} AS i, {shift} AS shift)" for less, i, shift in tries(edits))
+    start, size = cut(edits, "n", "x.less", "x.i", "x.shift")
+    found = entries.join(texts, "h1").withColumn("n", F.char_length("line")).withColumn("x", F.expr(f"array({tried})[j]"))
+    counts = [F.expr(letter_counts(c)).alias(f"c{k}") for k, c in enumerate(COUNTED)]
+    rest = F.expr(f"concat(substring(line, 1, {start} - 1), substring(line, {start} + {size}, n))").alias("rest")
+    found = found.select("key", "h1", "j", "x", "n", F.expr(f"n - {size}").alias("m"), rest, *counts)
+    start, size = cut(edits, "m", "y.less", "y.i", "y.shift")
+    fits = f"{start} >= 1 AND {start} + {size} <= m + 1"
+    sub = F.expr(f"xxhash64(key, m - y.less, y.i, substring(rest, {start}, {size}))").alias("sub")
+    stored = found.where(f"j < {parts}").withColumn("y", F.expr(f"explode(slice(array({tried}), 1, {parts}))"))
+    probed = found.withColumn("y", F.expr(f"explode(array({tried}))")).where("y.less = x.less")
+    stored, probed = (d.where(fits).select(sub, F.col("h1").alias(name), F.col("n").alias(f"n{name}"), *[F.col(f"c{k}").alias(f"{name}{k}") for k in range(len(COUNTED))]) for d, name in ((stored, "a"), (probed, "b")))
+    # two lines of one length find each other, and once is enough
+    apart = letters_apart([(f"a{k}", f"b{k}") for k in range(len(COUNTED))])
+    met = stored.join(probed, "sub").where("a != b and (a < b or na != nb)").where(f"{apart} <= {2 * edits}")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def broadcast_few(table: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """The table, to be broadcast if it has at most `most` rows."""
+    return F.broadcast(table) if table.count() <= most else table
+
+
 def classify_lines(docs: DataFrame, edits: int = EDITS, id_col: str = "doc_id", text_col: str = "text", components: bool = False) -> DataFrame:
     """One row for each row of docs: doc_id, dh, n_lines, removed (positions of lines to remove), classes, n_links.
 
@@ -134,11 +179,10 @@ def classify_lines(docs: DataFrame, edits: int = EDITS, id_col: str = "doc_id",
         verdict = verdict.join(roots.join(named, "root").select("h1", "h2", "reached"), ["h1", "h2"], "left")
     reached = F.coalesce("reached", "first") if components else F.col("first")
     verdict = through_table(verdict.select("h1", "h2", "first", "near", F.coalesce("links", F.lit(0)).alias("links"), reached.alias("reached")), "line-verdicts")
-    rows = line_rows(docs).select("doc_id", "dh", "pos", "h1", "h2").distinct()
-    judged = rows.join(verdict, ["h1", "h2"]).select(
+    judged = line_rows(docs).select("doc_id", "dh", "pos", "h1", "h2").join(broadcast_few(verdict, BROADCAST_ROWS // 10), ["h1", "h2"]).select(
         "doc_id", "dh", "pos", "links", F.least("first", "near").alias("class"), "reached",
         (F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "dh", "pos") > F.least("first", "near")).alias("gone"),
-    )
+    ).distinct()
     by_doc = judged.groupBy("doc_id", "dh").agg(
         F.sort_array(F.collect_list(F.when(F.col("gone"), F.col("pos")))).alias("removed"), F.sum("links").alias("n_links"),
         F.map_from_entries(F.collect_list(F.struct("pos", F.col("class.doc_id").alias("class")))).alias("other"),
