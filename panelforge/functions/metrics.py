@@ -11,13 +11,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.quantiles import quantiles
 from ..operators.running import running_sum
+from ..operators.tables import settled
 
 
 def by_score(df: DataFrame, by: list[str], y: str, p: str) -> DataFrame:
     """(by, p, n, pos, cum_n, cum_pos): distinct scores, from the highest, with running counts; total, positives."""
     tied = df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).groupBy(*by, F.col(p).alias("p")).agg(F.count("*").alias("n"), F.sum(F.col(y).cast("bigint")).alias("pos"))
-    return running_sum(tied, by, "p", {"cum_n": "n", "cum_pos": "pos"}, descending=True)
+    return settled(running_sum(settled(tied, "tied"), by, "p", {"cum_n": "n", "cum_pos": "pos"}, descending=True), "by-score")
 
 
 def rank_metrics(df: DataFrame, by: list[str], y: str = "y", p: str = "p") -> DataFrame:
@@ -58,8 +60,10 @@ def moments(df: DataFrame, by: list[str], y: str = "y", p: str = "p") -> DataFra
     rows = df.where(F.col(y).isNotNull() & F.col(p).isNotNull())
     out = rows.groupBy(*by).agg(
         F.count("*").alias("n"), F.avg(yes).alias("rate"), F.avg(p).alias("mean_p"), F.avg((F.col(p) - yes) * (F.col(p) - yes)).alias("brier"),
-        F.avg(-(yes * F.log(safe) + (1 - yes) * F.log(1 - safe))).alias("log_loss"), F.stddev_pop(p).alias("sd"), F.percentile(p, F.lit(0.5)).alias("p50"), F.percentile(p, F.lit(0.99)).alias("p99"),
+        F.avg(-(yes * F.log(safe) + (1 - yes) * F.log(1 - safe))).alias("log_loss"), F.stddev_pop(p).alias("sd"),
     )
+    levels = quantiles(rows, by, p, [0.5, 0.99]).select(*by, F.col("q")[0].alias("p50"), F.col("q")[1].alias("p99"))
+    out = out.join(levels, by) if by else out.crossJoin(levels)  # one row each
     ratio = F.when(F.col("p50") > 0, F.col("p99") / F.col("p50"))
     out = out.withColumns({"brier_skill": 1 - F.try_divide(F.col("brier"), F.col("rate") * (1 - F.col("rate"))), "rmse": F.sqrt("brier"), "ratio": ratio})
     return out.withColumn("near_constant", (F.col("sd") == 0) | F.coalesce(F.col("ratio") < 1.5, F.lit(False)))

@@ -13,14 +13,12 @@ def poisson_weight(*keys: Column | str, most: int = 8) -> Column:
     """A Poisson(1) number from a hash of the keys, by the inverse of its distribution."""
     import math
 
-    cdf, total, out = [], 0.0, F.lit(0)
+    cdf, total = [], 0.0
     for k in range(most):
         total += math.exp(-1) / math.factorial(k)
         cdf.append(total)
-    u = uniform(*keys)
-    for c in cdf:
-        out = out + F.when(u >= c, 1).otherwise(0)
-    return out
+    # the uniform number is bound to a name, so it is made once
+    return F.transform(F.array(uniform(*keys)), lambda u: sum((F.when(u >= c, 1).otherwise(0) for c in cdf), F.lit(0)))[0]
 
 
 def paired_difference(scores: DataFrame, group: str, y: str, a: str, b: str, draws: int = 200, least: int = 100) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clip, edges_below, squash
+from .quantiles import quantiles
 
 
 def long_form(df: DataFrame, id_cols: list[str], features: list[str]) -> DataFrame:
@@ -17,10 +18,10 @@ def long_form(df: DataFrame, id_cols: list[str], features: list[str]) -> DataFra
 def fit_conditioner(train: DataFrame, features: list[str], q: float = 0.01) -> DataFrame:
     """(feature, low, high, centre, scale): winsor bounds, median, and IQR (its deviation if that is 0, 1 if both are)."""
     rows = long_form(train, [], features).where("value is not null and abs(value) < double('infinity')")
-    got = rows.groupBy("feature").agg(
-        F.percentile("value", F.lit(q)).alias("low"), F.percentile("value", F.lit(1 - q)).alias("high"), F.percentile("value", F.lit(0.5)).alias("centre"),
-        (F.percentile("value", F.lit(0.75)) - F.percentile("value", F.lit(0.25))).alias("iqr"), F.stddev_pop("value").alias("sd"),
-    )
+    q5 = quantiles(rows, ["feature"], "value", [q, 0.25, 0.5, 0.75, 1 - q])
+    spread = rows.groupBy("feature").agg(F.stddev_pop("value").alias("sd"))
+    low, first, centre, third, high = (F.col("q")[i] for i in range(5))
+    got = q5.join(spread, "feature").select("feature", low.alias("low"), high.alias("high"), centre.alias("centre"), (third - first).alias("iqr"), "sd")
     return got.select("feature", "low", "high", "centre", F.when(F.col("iqr") > 0, F.col("iqr")).when(F.col("sd") > 0, F.col("sd")).otherwise(1.0).alias("scale"))
 
 
@@ -70,7 +71,7 @@ def one_hot(df: DataFrame, column: str, levels: list[str], prefix: str, missing_
 
 def fit_bins(train: DataFrame, y: str, bins: int) -> DataFrame:
     """(edges, representatives): distinct inner quantiles above the minimum, and the mean of each bin (of all rows, for an empty one). One row."""
-    cuts = train.agg(F.percentile(y, F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("q"), F.min(y).alias("low"), F.avg(y).alias("all"))
+    cuts = quantiles(train, [], y, [i / bins for i in range(1, bins)]).crossJoin(train.agg(F.min(y).alias("low"), F.avg(y).alias("all")))  # one row each
     edges = cuts.select(F.filter(F.array_distinct("q"), lambda e: e > F.col("low")).alias("edges"), "all")
     placed = train.where(F.col(y).isNotNull()).crossJoin(F.broadcast(edges)).groupBy(edges_below(F.col(y), F.col("edges")).alias("bin")).agg(F.avg(y).alias("mean"))
     means = placed.agg(F.map_from_entries(F.collect_list(F.struct("bin", "mean"))).alias("means"))  # a row for each bin

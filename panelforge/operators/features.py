@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
+
 
 def yeo_johnson(x: Column, power: float) -> Column:
     """The Yeo-Johnson transform: powers of x + 1 above 0, of 1 - x below; logarithms at the ends of the scale."""
@@ -44,8 +46,8 @@ def hat_basis(x: Column, knots: list[float]) -> list[Column]:
 
 def fit_knots(train: DataFrame, column: str, count: int) -> list[float]:
     """Distinct quantile knots, ends included: `count` numbers at most reach the driver."""
-    q = train.agg(F.percentile(column, F.array(*[F.lit(i / (count - 1)) for i in range(count)]))).first()[0]
-    return sorted(set(q or []))
+    q = quantiles(train, [], column, [i / (count - 1) for i in range(count)]).first()
+    return sorted(set(q[0] if q else []))
 
 
 def fit_projection(train: DataFrame, features: list[str], k: int) -> np.ndarray:
@@ -134,7 +136,7 @@ def fisher_exact(a: Column, b: Column, c: Column, d: Column) -> Column:
 
 def latest_part(df: DataFrame, time: str, share: float, embargo: float) -> DataFrame:
     """Adds part: 'hold' for the latest share by time, 'fit' before it less the embargo; rows in between are left out."""
-    cut = df.agg(F.percentile(time, F.lit(1 - share)).alias("__cut"))  # one row
+    cut = quantiles(df, [], time, [1 - share]).select(F.col("q")[0].alias("__cut"))  # one row
     placed = df.crossJoin(F.broadcast(cut)).withColumn("part", F.when(F.col(time) >= F.col("__cut"), "hold").when(F.col(time) < F.col("__cut") - embargo, "fit"))
     return placed.where("part is not null").drop("__cut")
 

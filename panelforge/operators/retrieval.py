@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
+
 #: Query rows of one block: the side that is sent to all tasks.
 BLOCK = 5_000
 
@@ -16,10 +18,11 @@ def distance(a: Column, b: Column) -> Column:
 
 def distance_stats(context: DataFrame, vector: str, size: int) -> DataFrame:
     """One row: centre (medians) and scale (IQRs, at least 1e-6) as arrays."""
-    item = lambda i: F.element_at(vector, i + 1).cast("double")
-    quarter = [F.percentile(item(i), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) for i in range(size)]
-    got = context.agg(F.array(*quarter).alias("q"))
-    return got.select(F.transform("q", lambda x: x[1]).alias("centre"), F.transform("q", lambda x: F.greatest(x[2] - x[0], F.lit(1e-6))).alias("scale"))
+    cells = context.select(F.posexplode(F.slice(vector, 1, size)).alias("i", "v"))
+    each = quantiles(cells, ["i"], "v", [0.25, 0.5, 0.75])
+    # a row for each place of the vector
+    got = each.agg(F.array_sort(F.collect_list(F.struct("i", "q"))).alias("all"))
+    return got.select(F.transform("all", lambda x: x["q"][1]).alias("centre"), F.transform("all", lambda x: F.greatest(x["q"][2] - x["q"][0], F.lit(1e-6))).alias("scale"))
 
 
 def scaled(rows: DataFrame, stats: DataFrame, vector: str) -> DataFrame:
@@ -29,11 +32,12 @@ def scaled(rows: DataFrame, stats: DataFrame, vector: str) -> DataFrame:
     return joined.withColumn(vector, z).drop("centre", "scale")
 
 
-def nearest(context: DataFrame, queries: DataFrame, vector: str, row: str, query: str, label: str, k: int, per_class: dict | None = None) -> DataFrame:
+def nearest(context: DataFrame, queries: DataFrame, vector: str, row: str, query: str, label: str, k: int, per_class: dict | None = None, but_self: bool = False) -> DataFrame:
     """(query, row, label, distance, rank): the k nearest context rows of each query (equal ones by row id), or k by class.
 
-    The queries go over the context in blocks of at most BLOCK rows, sent to every task. Each task keeps, for each query,
-    its own k nearest (a bounded aggregate by partition), so what is shuffled is k rows a query and task, not all pairs.
+    The queries go over the context in blocks of about BLOCK rows, sent to every task. Where k is a number, the window's
+    group limit keeps k rows of each query in each task, so what is shuffled is not all pairs. but_self leaves out the
+    context row whose id is the query's.
     """
     parts = []
     q = queries.select(F.col(query), F.col(vector).alias("__qv"))
@@ -41,13 +45,14 @@ def nearest(context: DataFrame, queries: DataFrame, vector: str, row: str, query
     blocks = max(1, -(-n // BLOCK))
     for b in range(blocks):
         some = q if blocks == 1 else q.where(F.pmod(F.xxhash64(query), F.lit(blocks)) == b)
-        pairs = context.join(F.broadcast(some)).select(query, F.col(row), F.col(label), distance(F.col(vector), F.col("__qv")).alias("distance"), F.spark_partition_id().alias("__p"))
+        pairs = context.join(F.broadcast(some)).select(query, F.col(row), F.col(label), distance(F.col(vector), F.col("__qv")).alias("distance"))
+        pairs = pairs.where(F.col(query) != F.col(row)) if but_self else pairs
         keys = [query] + ([label] if per_class else [])
         limit = F.element_at(F.create_map(*[F.lit(x) for kv in per_class.items() for x in kv]), F.col(label)) if per_class else F.lit(k)
         # window group limit keeps k rows a key before the shuffle
         ranked = pairs.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy("distance", row)).cast("bigint"))
         most = max(per_class.values()) if per_class else k
-        parts.append(ranked.where((F.col("rank") <= most) & (F.col("rank") <= limit)).drop("__p"))
+        parts.append(ranked.where((F.col("rank") <= most) & (F.col("rank") <= limit)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

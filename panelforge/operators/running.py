@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 #: Ranges that a group's order is cut into.
 RANGES = 64
+#: Texts from which cuts of a text order are taken.
+SAMPLE = 1000
 
 
 def running_sum(df: DataFrame, by: list[str], order: str, sums: dict[str, str], descending: bool = False, ranges: int = RANGES) -> DataFrame:
@@ -17,16 +19,21 @@ def running_sum(df: DataFrame, by: list[str], order: str, sums: dict[str, str],
     the same sums); rows are summed within (group, range), and the ranges' totals, at most `ranges` rows a group, are
     summed over the ranges. So a group with most of the rows is spread over many tasks.
     """
-    value = F.col(order)
-    cuts = df.groupBy(*by).agg(F.percentile_approx(value.cast("double") if dict(df.dtypes)[order] not in ("string", "date", "timestamp", "timestamp_ntz") else F.xxhash64(value), [i / ranges for i in range(1, ranges)], 1000).alias("__cuts")) if dict(df.dtypes)[order] not in ("string",) else None
-    if cuts is None:
-        # texts are cut by their first two characters' code, which keeps the order
-        placed = df.withColumn("__range", F.coalesce(F.ascii(value), F.lit(0)))
+    value, kind = F.col(order), dict(df.dtypes)[order]
+    if kind == "string":
+        # the values of the least hashes are a sample, of at most SAMPLE texts
+        seen = sorted(r[0] for r in df.select(order).where(value.isNotNull()).orderBy(F.xxhash64(value)).limit(SAMPLE).collect())
+        cuts = F.array(*[F.lit(seen[i * len(seen) // ranges]) for i in range(1, ranges)]) if seen else F.expr("CAST(array() AS array<string>)")
+        placed = df.withColumn("__range", F.size(F.filter(cuts, lambda c: c < value)))
+    elif kind in ("date", "timestamp", "timestamp_ntz"):
+        raise TypeError("order by a number: use unix_micros or unix_date")
     else:
-        if dict(df.dtypes)[order] in ("date", "timestamp", "timestamp_ntz"):
-            raise TypeError("order by a number: use unix_micros or unix_date")
-        joined = df.join(cuts, by) if by else df.crossJoin(F.broadcast(cuts))  # one row
-        placed = joined.withColumn("__range", F.size(F.filter("__cuts", lambda c: c < value.cast("double")))).drop("__cuts")
+        cuts = df.groupBy(*by).agg(F.percentile_approx(value.cast("double"), [i / ranges for i in range(1, ranges)], 1000).alias("__cuts")).withColumnsRenamed({c: f"__c_{c}" for c in by})
+        met = F.lit(True)
+        for c in by:
+            met = met & F.col(c).eqNullSafe(F.col(f"__c_{c}"))
+        joined = df.join(cuts, met) if by else df.crossJoin(F.broadcast(cuts))  # one row
+        placed = joined.withColumn("__range", F.size(F.filter("__cuts", lambda c: c < value.cast("double"))))
     way = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
     inner = W.partitionBy(*by, "__range").orderBy(way(order)).rowsBetween(W.unboundedPreceding, 0)
     totals = placed.groupBy(*by, "__range").agg(*[F.sum(c).alias(f"__t{i}") for i, c in enumerate(sums.values())])

@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import bucket, hash32
+from .quantiles import quantiles
 
 
 class InContextScorer(Protocol):
@@ -33,7 +34,9 @@ class LogisticScorer:
         self.features, self.label, self.penalty = features, label, penalty
 
     def fit(self, rows: DataFrame) -> LogisticScorer:
-        self.medians = rows.agg(*[F.percentile(c, F.lit(0.5)).alias(c) for c in self.features]).first().asDict()
+        cells = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in self.features])).alias("x")
+        found = {r.c: r.q[0] for r in quantiles(rows.select(cells).select("x.*"), ["c"], "v", [0.5]).collect()}  # a row for each feature
+        self.medians = {c: found.get(c) for c in self.features}
         stages = [VectorAssembler(inputCols=self.features, outputCol="__x"), StandardScaler(inputCol="__x", outputCol="__z", withMean=True), LogisticRegression(featuresCol="__z", labelCol=self.label, regParam=self.penalty, maxIter=50, probabilityCol="__p", rawPredictionCol="__r", predictionCol="__y")]
         self.model = Pipeline(stages=stages).fit(self._filled(rows.where(F.col(self.label).isNotNull())))
         return self

@@ -7,16 +7,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import bucket, hash32
+from .quantiles import quantiles
 
 CUTS = (1 / 2, 2 / 3, 5 / 6)
+#: Classes whose counts the driver may hold.
+MOST_CLASSES = 10_000
 
 
 def out_of_time(panel: DataFrame, entity: str, time: str, embargo: float = 0.0, cuts: tuple[float, ...] = CUTS) -> DataFrame:
     """Adds split and part: for each cut at a quantile of time, test rows lie in [cut, next cut) (the last window is open),
     train rows before cut - embargo, less the entities of the test rows. A row appears once for each split it is part of."""
-    edges = panel.agg(*[F.percentile(time, F.lit(c)).alias(f"e{i}") for i, c in enumerate(cuts)])  # one row
+    edges = quantiles(panel, [], time, list(cuts), "e")  # one row
     n = len(cuts)
-    window = F.array(*[F.struct(F.lit(i).cast("bigint").alias("split"), F.col(f"e{i}").alias("start"), (F.col(f"e{i + 1}") if i + 1 < n else F.lit(float("inf"))).alias("stop")) for i in range(n)])
+    window = F.array(*[F.struct(F.lit(i).cast("bigint").alias("split"), F.col("e")[i].alias("start"), (F.col("e")[i + 1] if i + 1 < n else F.lit(float("inf"))).alias("stop")) for i in range(n)])
     placed = panel.crossJoin(F.broadcast(edges.select(F.explode(window).alias("w")))).select(*panel.columns, "w.*")  # a row for each cut
     part = F.when((F.col(time) >= F.col("start")) & (F.col(time) < F.col("stop")), "test").when(F.col(time) < F.col("start") - embargo, "train")
     placed = placed.withColumn("part", part).where("part is not null").drop("start", "stop")
@@ -53,10 +56,7 @@ def take_per_class(df: DataFrame, by: list[str], quota: Column, key: list[str])
 
 
 def cap_rows(df: DataFrame, n: int, key: list[str]) -> DataFrame:
-    """n rows at most, by hash: a threshold on the hash thins first, so that the sort sees few more than n rows."""
-    total = df.count()
-    if total > 4 * n:
-        df = df.where(hash32(*key) < int(min(1.0, 2 * n / total + 1e-3) * 4294967296))
+    """n rows in the order of their hashes, or all there are: each task keeps its n first, so the last one sees few."""
     return df.orderBy(hash32(*key), *key).limit(n)
 
 
@@ -90,8 +90,11 @@ def water_fill(counts: dict[str, int], total: int) -> dict[str, int]:
 
 
 def quota_sample(df: DataFrame, label: str, total: int, key: list[str], balanced: bool = False) -> DataFrame:
-    """About `total` rows by class quotas (proportional or balanced). Class counts are a small table."""
-    counts = {r[0]: r[1] for r in df.groupBy(label).count().orderBy(label).limit(10_000).collect()}
+    """About `total` rows by class quotas (proportional or balanced). Class counts are a small table; a label of more than
+    MOST_CLASSES classes is refused."""
+    counts = {r[0]: r[1] for r in df.groupBy(label).count().orderBy(label).limit(MOST_CLASSES + 1).collect()}
+    if len(counts) > MOST_CLASSES:
+        raise ValueError(f"{label} has more than {MOST_CLASSES} classes")
     quota = (water_fill if balanced else largest_remainder)(counts, min(total, sum(counts.values())))
     limit = F.element_at(F.create_map(*[F.lit(x) for kv in quota.items() for x in kv]), F.col(label)) if quota else F.lit(0)
     return take_per_class(df, [label], limit, key)

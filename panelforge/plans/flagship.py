@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import metrics as M
 from ..operators import relational as R
 from ..operators import splits as P
+from ..operators.tables import settled
 from .registry import query, r6
 
 
@@ -22,7 +23,7 @@ def flagship_out_of_time(t, spark):
     cut = e.agg(F.max("ts").alias("cut"))  # one row
     start = F.col("day").cast("timestamp_ntz")
     open_rows = days.crossJoin(F.broadcast(cut)).withColumn("at", start).where(F.col("at") + F.expr("INTERVAL 2 DAYS") <= F.col("cut")).drop("cut")
-    labelled = R.forward_label(open_rows, e.where("event_type = 'error'"), "user_id", "at", "ts", "1 day", "1 day")
+    labelled = settled(R.forward_label(open_rows, e.where("event_type = 'error'"), "user_id", "at", "ts", "1 day", "1 day"), "labelled")
     timed = labelled.withColumn("t", F.unix_date("day").cast("double"))
     test = P.out_of_time(timed, "user_id", "t", 1.0).where("part = 'test'")
     return M.rank_metrics(test.withColumn("p", F.col("n").cast("double")), ["split"], "label", "p").select("split", "n", "positives", r6("auc").alias("auc"), r6("ap").alias("ap"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators.quantiles import quantiles
 from .registry import big, h, query, r6
 
 
@@ -62,7 +63,7 @@ def oblivious_tree_leaves(t, spark):
 def gated_default_labels(t, spark):
     u = lambda salt: S.uniform("c_custkey", F.lit(salt))
     g = t("customer").select(F.col("c_custkey").alias("firm"), u("recv").alias("x"), u("lev").alias("e"), u("leak").alias("v"))
-    cut = g.agg(F.percentile("e", F.lit(0.7)).alias("cut"))  # one row
+    cut = quantiles(g, [], "e", [0.7]).select(F.col("q")[0].alias("cut"))  # one row
     x = g.crossJoin(F.broadcast(cut))
     inside = F.col("e") > F.col("cut")
     return x.select("firm", inside.alias("inside"), big(F.when(inside, F.col("v") < 1 / (1 + F.exp(-(4 * F.col("x") - 2)))).otherwise(F.col("v") < 0.02)).alias("label"))
@@ -71,7 +72,7 @@ def gated_default_labels(t, spark):
 @query(f"WITH g AS (SELECT firm, e FROM ({ACC})), q AS (SELECT [quantile_cont(e, 2e-1), quantile_cont(e, 5e-1), quantile_cont(e, 9e-1)] AS cuts FROM g) SELECT firm, CAST(len(list_filter(cuts, lambda c: c <= e)) AS BIGINT) AS class FROM g, q")
 def cut_latent_classes(t, spark):
     g = t("customer").select(F.col("c_custkey").alias("firm"), S.uniform("c_custkey", F.lit("lev")).alias("e"))
-    cuts = g.agg(F.percentile("e", F.array(F.lit(0.2), F.lit(0.5), F.lit(0.9))).alias("cuts"))  # one row
+    cuts = quantiles(g, [], "e", [0.2, 0.5, 0.9], "cuts")  # one row
     return g.crossJoin(F.broadcast(cuts)).select("firm", big(S.edges_below(F.col("e"), F.col("cuts"))).alias("class"))
 
 

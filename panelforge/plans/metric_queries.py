@@ -9,6 +9,7 @@ from ..functions import metrics as M
 from ..functions import scalars as S
 from ..operators import comparison as Q
 from ..operators import retrieval as N
+from ..operators.quantiles import quantiles
 from .registry import big, h, query, r6
 
 SC = f"SELECT o_orderkey AS _row_id, o_custkey, o_orderpriority AS g, CAST(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS BIGINT) AS y, round({h('o_orderkey')} / 4294967296e0, 2) AS p FROM orders"
@@ -102,11 +103,11 @@ def spread_over_tasks(t, spark):
     return m.groupBy("method").agg(F.count("*").alias("tasks"), F.round(F.avg("m"), 4).alias("mean"), F.min_by("task", F.struct("m", "task")).alias("lowest"), F.max_by("task", F.struct("m", "task")).alias("highest"))
 
 
-@query(f"WITH r AS ({RES}) SELECT method, task, round(sum(error), 6) AS total, count(*) AS n FROM r GROUP BY GROUPING SETS ((method, task), (method), ())")
+@query(f"WITH r AS ({RES}) SELECT method, task, round(CAST(sum(CAST(error AS DECIMAL(28, 6))) AS DOUBLE) / count(*), 3) AS mean, count(*) AS n FROM r GROUP BY GROUPING SETS ((method, task), (method), ())")
 def grouping_sets_spread(t, spark):
-    r = results(t)
-    r.createOrReplaceTempView("__results")
-    return spark.sql("SELECT method, task, round(sum(error), 6) AS total, count(*) AS n FROM __results GROUP BY GROUPING SETS ((method, task), (method), ())")
+    """Means over several groupings; decimal sums don't depend on the order of rows."""
+    mean = F.round(F.sum(F.col("error").cast("decimal(28,6)")).cast("double") / F.count("*"), 3)
+    return results(t).groupingSets([["method", "task"], ["method"], []], "method", "task").agg(mean.alias("mean"), F.count("*").alias("n"))
 
 
 @query(f"WITH r AS ({RES}), m AS (SELECT method, split, avg(error) AS e, count(*) AS n FROM r GROUP BY 1, 2) SELECT method, round(regr_slope(e, log10(split - 1990)), 1) AS slope, round(regr_r2(e, log10(split - 1990)), 5) AS r2, round(max_by(e, split) - min_by(e, split), 6) AS gain FROM m GROUP BY 1")
@@ -126,8 +127,8 @@ def context_information(t, spark):
 @query("""WITH v AS (SELECT l_returnflag AS g, l_extendedprice AS x FROM lineitem), m AS (SELECT g, avg(x) AS m FROM v GROUP BY 1), c AS (SELECT v.g, avg(pow(x - m, 2)) AS m2, avg(pow(x - m, 4)) AS m4, quantile_cont(abs(x), 999e-3) / quantile_cont(abs(x), 75e-2) AS tail FROM v JOIN m USING (g) GROUP BY 1) SELECT g, round(m4 / (m2 * m2) - 3, 5) AS kurtosis, round(tail, 5) AS tail FROM c""")
 def tail_statistics(t, spark):
     v = t("lineitem").select(F.col("l_returnflag").alias("g"), F.col("l_extendedprice").alias("x"))
-    a = F.abs(F.col("x"))
-    return v.groupBy("g").agg(F.round(F.kurtosis("x"), 5).alias("kurtosis"), F.round(F.percentile(a, F.lit(0.999)) / F.percentile(a, F.lit(0.75)), 5).alias("tail"))
+    tails = quantiles(v, ["g"], F.abs(F.col("x")), [0.999, 0.75]).select("g", F.round(F.col("q")[0] / F.col("q")[1], 5).alias("tail"))
+    return v.groupBy("g").agg(F.round(F.kurtosis("x"), 5).alias("kurtosis")).join(tails, "g")
 
 
 @query(f"SELECT g, round((a * (1 - a) + (pos - 1) * (a / (2 - a) - a * a) + (neg - 1) * (2 * a * a / (1 + a) - a * a)) / (pos * neg), 8) AS v FROM (SELECT g, 75e-2 AS a, CAST(sum(y) AS DOUBLE) AS pos, CAST(count(*) - sum(y) AS DOUBLE) AS neg FROM ({SC}) GROUP BY 1)")
@@ -154,21 +155,20 @@ def panel_profile(t, spark):
 
 
 VEC = "SELECT vec_id, label, CAST(label = 3 AS INTEGER) AS y, CAST(embedding AS DOUBLE[]) AS v FROM embeddings"
-ST = f"SELECT [{', '.join(f'quantile_cont(v[{i}], 5e-1)' for i in range(1, 65))}] AS c, [{', '.join(f'greatest(quantile_cont(v[{i}], 75e-2) - quantile_cont(v[{i}], 25e-2), 1e-6)' for i in range(1, 65))}] AS s FROM ({VEC}) WHERE vec_id % 2 = 0"
+ST = f"SELECT [{', '.join(f'quantile_cont(v[{i}], 5e-1)' for i in range(1, 65))}] AS c, [{', '.join(f'greatest(quantile_cont(v[{i}], 75e-2) - quantile_cont(v[{i}], 25e-2), 1e-6)' for i in range(1, 65))}] AS s FROM ({VEC})"
 ZV = f"SELECT vec_id, label, y, [{', '.join(f'(v[{i}] - c[{i}]) / s[{i}]' for i in range(1, 65))}] AS z FROM ({VEC}), ({ST})"
-PAIRS = f"SELECT q.vec_id AS q, x.vec_id AS r, x.y, round(list_distance(q.z, x.z), 9) AS distance FROM ({ZV}) q JOIN ({ZV}) x ON x.vec_id % 2 = 0 WHERE q.vec_id % 20 = 1"
+PAIRS = f"SELECT q.vec_id AS q, x.vec_id AS r, x.y, round(list_distance(q.z, x.z), 9) AS distance FROM ({ZV}) q JOIN ({ZV}) x ON x.vec_id != q.vec_id WHERE q.vec_id % 20 = 0"
 
 
 def vectors(t):
     v = t("embeddings").select("vec_id", (F.col("label") == 3).cast("int").alias("y"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    stats = N.distance_stats(v.where("vec_id % 2 = 0"), "v", 64)
-    z = N.scaled(v, stats, "v")
-    return z.where("vec_id % 2 = 0"), z.where("vec_id % 20 = 1").select(F.col("vec_id").alias("q"), "v")
+    z = N.scaled(v, N.distance_stats(v, "v", 64), "v")
+    return z, z.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), "v")
 
 
 def neighbours(t, k, per_class=None):
     context, queries = vectors(t)
-    return N.nearest(context.withColumnRenamed("vec_id", "r"), queries, "v", "r", "q", "y", k, per_class)
+    return N.nearest(context.withColumnRenamed("vec_id", "r"), queries, "v", "r", "q", "y", k, per_class, but_self=True)
 
 
 @query(f"SELECT q, r, y FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY distance, r) AS k FROM ({PAIRS})) WHERE k <= 8")
@@ -188,7 +188,7 @@ def nearest_with_floor(t, spark):
     return N.with_floor(near, pos, "q", "r", "y", 8, 3).select("q", "r", "y")
 
 
-@query(f"""WITH k AS (SELECT q, y, row_number() OVER (PARTITION BY q ORDER BY distance, r) AS k FROM ({PAIRS})), v AS (SELECT q, (sum(y) + 5e-1) / (count(*) + 1e0) AS p FROM k WHERE k <= 8 GROUP BY 1), c AS (SELECT avg(y) AS true_rate FROM ({VEC}) WHERE vec_id % 2 = 0), d AS (SELECT ln(true_rate / (1 - true_rate)) - ln(avg(p) / (1 - avg(p))) AS d FROM v, c GROUP BY true_rate)
+@query(f"""WITH k AS (SELECT q, y, row_number() OVER (PARTITION BY q ORDER BY distance, r) AS k FROM ({PAIRS})), v AS (SELECT q, (sum(y) + 5e-1) / (count(*) + 1e0) AS p FROM k WHERE k <= 8 GROUP BY 1), c AS (SELECT avg(y) AS true_rate FROM ({VEC})), d AS (SELECT ln(true_rate / (1 - true_rate)) - ln(avg(p) / (1 - avg(p))) AS d FROM v, c GROUP BY true_rate)
 SELECT q, round(p, 6) AS raw, round(1 / (1 + exp(-(ln(p / (1 - p)) + d))), 6) AS shifted FROM v, d""")
 def neighbour_vote_prior_shift(t, spark):
     votes = neighbours(t, 8).groupBy("q").agg(((F.sum("y") + 0.5) / (F.count("*") + 1.0)).alias("p"))

@@ -134,10 +134,10 @@ def quantile_bins(t, spark):
     return got.select("p_partkey", big(bin_).alias("bin"), r6(F.element_at("representatives", bin_ + 1)).alias("rep"))
 
 
-@query("""WITH c AS (SELECT l_returnflag AS g, l_extendedprice AS v, l_linenumber <= 4 AS ctx, l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_quantity <= 5), t AS (SELECT g, v, CAST(sum(CASE WHEN ctx THEN 1 ELSE 0 END) AS BIGINT) AS c FROM c GROUP BY 1, 2),
+@query("""WITH c AS (SELECT l_returnflag AS g, l_extendedprice AS v, l_linenumber <= 4 AS ctx, l_orderkey, l_linenumber, l_partkey FROM lineitem), t AS (SELECT g, v, CAST(sum(CASE WHEN ctx THEN 1 ELSE 0 END) AS BIGINT) AS c FROM c GROUP BY 1, 2),
 r AS (SELECT g, v, c, sum(c) OVER (PARTITION BY g ORDER BY v) AS le, sum(c) OVER (PARTITION BY g) AS n FROM t) SELECT g, v, round((2 * le - c) / CAST(n AS DOUBLE) - 1, 6) AS ecdf FROM r""")
 def mid_rank_ecdf(t, spark):
-    c = t("lineitem").where("l_quantity <= 5").select(F.col("l_returnflag").alias("g"), F.col("l_extendedprice").alias("v"), (F.col("l_linenumber") <= 4).alias("ctx"))
+    c = t("lineitem").select(F.col("l_returnflag").alias("g"), F.col("l_extendedprice").alias("v"), (F.col("l_linenumber") <= 4).alias("ctx"))
     return C.mid_ecdf(c, ["g"], "v", "ctx").select("g", "v", r6("ecdf").alias("ecdf")).distinct()
 
 

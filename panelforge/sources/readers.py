@@ -95,7 +95,7 @@ def panel_weights(spec: str) -> dict[str, float]:
 def arff(spark: SparkSession, path: str) -> DataFrame:
     """An ARFF text as strings: attribute names from its head, one row for each data line; '?' is null."""
     text = spark.read.text(path)
-    names = [r.n for r in text.where(F.lower("value").rlike(r"^\s*@attribute")).select(F.regexp_extract("value", r"(?i)@attribute\s+('[^']*'|\"[^\"]*\"|\S+)", 1).alias("n")).limit(10_000).collect()]
+    names = [r.n for r in text.where(F.lower("value").rlike(r"^\s*@attribute")).select(F.regexp_extract("value", r"(?i)@attribute\s+('[^']*'|\"[^\"]*\"|\S+)", 1).alias("n")).collect()]  # a head, not data
     names = [n.strip("'\"") for n in names]
     cells = F.split(F.trim("value"), r"\s*,\s*")
     data = text.where(~F.trim("value").rlike(r"^(@|%|$)")).select(cells.alias("c"))

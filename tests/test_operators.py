@@ -103,3 +103,22 @@ def test_inverse_normal_and_dates(spark):
     assert [round(x, 5) for x in got] == [-3.09023, 0.0, 1.95996]
     d = spark.sql("SELECT DATE '2026-01-31' AS a, DATE '2026-02-28' AS b").select(scalars.whole_months("a", "b").alias("m")).first()
     assert d.m == 0
+
+
+def test_strengths_of_two_methods_are_the_log_odds():
+    import pandas as pd
+
+    got = comparison.strengths(pd.DataFrame({"a": ["x", "y"], "b": ["y", "x"], "wins": [8.0, 2.0]}))
+    assert math.isclose(got["x"] - got["y"], math.log(8.5 / 2.5), abs_tol=1e-9) and math.isclose(got["x"] + got["y"], 0, abs_tol=1e-12)
+    # a cycle of equal odds has equal strengths; a chain adds up its log odds; one that never lost has a finite strength
+    cycle = comparison.strengths(pd.DataFrame({"a": list("xyz") * 2, "b": list("yzxzxy"), "wins": [3.0] * 3 + [1.0] * 3}))
+    assert max(map(abs, cycle.values())) < 1e-9
+    chain = comparison.strengths(pd.DataFrame({"a": ["x", "y", "y", "z"], "b": ["y", "x", "z", "y"], "wins": [6.0, 1.0, 4.0, 0.0]}))
+    assert math.isclose(chain["x"] - chain["z"], math.log(6.5 / 1.5) + math.log(4.5 / 0.5), abs_tol=1e-6)
+
+
+def test_cap_rows_has_all_it_should(spark):
+    for lo in range(0, 60, 10):
+        df = spark.range(lo, lo + 10)
+        assert splits.cap_rows(df, 1, ["id"]).count() == 1 and splits.cap_rows(df, 10, ["id"]).count() == 10
+    assert splits.cap_rows(spark.range(100), 10, ["id"]).count() == 10 and splits.cap_rows(spark.range(3), 10, ["id"]).count() == 3
