@@ -43,6 +43,28 @@ def point_hashes() -> np.ndarray:
     return splitmix(np.arange(sys.maxunicode + 1) + (1 << 50))
 
 
+#: An odd number and its inverse modulo 2^64: hashes of short pieces are polynomials in it.
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
+#: Longer pieces are hashed by an own multiplier for each place.
+SHORT = 64
+_powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers of BASE, and of INVERSE."""
+    global _powers
+    if n > len(_powers[0]):
+        size = max(n, 1 << 20)
+        made = []
+        for b in (BASE, INVERSE):
+            out = np.full(size, b, np.uint64)
+            out[0] = 1
+            made.append(np.multiply.accumulate(out))
+        _powers = made[0], made[1]
+    return _powers
+
+
 def split(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The joined text, its code points, the start and end of each piece in it, and how many pieces each text has."""
     joined = GAP.join(texts) + GAP
@@ -84,16 +106,24 @@ def split(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np
 
 
 def hash_pieces(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each piece, never 0. Of short pieces: a difference of prefix sums of (point's hash) * BASE^place,
+    times INVERSE^start, so that it doesn't depend on where the piece stands."""
     if not len(starts):
         return np.zeros(0, dtype=np.uint64)
     sizes = ends - starts
-    first = np.zeros(len(starts), dtype=np.int64)
-    np.cumsum(sizes[:-1], out=first[1:])
-    place = np.arange(int(sizes.sum()), dtype=np.int64)
-    place -= np.repeat(first, sizes)
-    mixed = point_hashes()[points[place + np.repeat(starts, sizes)]]
-    mixed *= places(int(sizes.max()))[place]
-    return splitmix(np.add.reduceat(mixed, first) ^ sizes.astype(np.uint64))
+    up, down = powers(len(points) + 1)
+    sums = np.empty(len(points) + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum(point_hashes()[points] * up[: len(points)], out=sums[1:])
+    mixed = (sums[ends] - sums[starts]) * down[starts]
+    long = np.flatnonzero(sizes > SHORT)
+    if len(long):
+        some = sizes[long]
+        first = np.cumsum(some) - some
+        place = np.arange(int(some.sum()), dtype=np.int64) - np.repeat(first, some)
+        each = point_hashes()[points[place + np.repeat(starts[long], some)]] * places(int(some.max()))[place]
+        mixed[long] = np.add.reduceat(each, first)
+    return splitmix(mixed ^ sizes.astype(np.uint64)) | np.uint64(1)
 
 
 class PieceIds:
@@ -109,6 +139,9 @@ class PieceIds:
     def clear(self) -> None:
         self.known: dict[int, int] = {}
         self.begin, self.size, self.flat, self.used = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint32), 0
+        # a first look: a slot holds the hash and the number of one of its pieces
+        self.slots = 1 << max(4, (2 * self.most).bit_length())
+        self.at, self.number = np.zeros(self.slots, np.uint64), np.zeros(self.slots, np.int32)
 
     def _add(self, hashes: list[int], found: list[list[int]]) -> None:
         sizes = np.fromiter(map(len, found), np.int64, len(found))
@@ -125,17 +158,30 @@ class PieceIds:
 
     def numbers(self, joined: str, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The number in this cache of each piece."""
-        codes, unique = pd.factorize(hash_pieces(points, starts, ends))
+        hashes = hash_pieces(points, starts, ends)
+        slot = (hashes >> np.uint64(1)).astype(np.int64) & (self.slots - 1)
+        out = self.number[slot]
+        rest = np.flatnonzero(self.at[slot] != hashes)
+        if not len(rest):
+            return out
+        codes, unique = pd.factorize(hashes[rest])
         if len(self.known) + len(unique) > self.most:
             self.clear()
+            rest = np.arange(len(hashes))
+            codes, unique = pd.factorize(hashes)
         keys = unique.tolist()
         missing = [i for i, k in enumerate(keys) if k not in self.known]
+        where = np.empty(len(unique), np.int64)
+        where[codes[::-1]] = rest[::-1]
         if missing:
-            where = np.empty(len(unique), np.int64)
-            where[codes[::-1]] = np.arange(len(codes))[::-1]
             at = where[missing]
             self._add([keys[i] for i in missing], self.encode([joined[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())]))
-        return np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))[codes]
+        found = np.fromiter(map(self.known.__getitem__, keys), np.int32, len(keys))
+        free = self.at[slot[where]] == 0
+        self.at[slot[where[free]]], self.number[slot[where[free]]] = unique[free], found[free]
+        # of two new pieces of one slot the later one stands in both arrays
+        out[rest] = found[codes]
+        return out
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array, and how many each text has."""

@@ -35,8 +35,16 @@ from .pieces import PieceIds, slices
 HEAD = struct.Struct("<4s5I")
 #: Ids of a block before it is closed; a longer document has a block of its own.
 BLOCK_IDS = 2_000_000
-#: A pair becomes a rule if it occurs this often in a block; a round takes pairs within this factor of the block's most frequent.
+#: A pair becomes a rule if it occurs this often in a block; a round takes pairs within this factor of the block's most
+#: frequent (Re-Pair takes the most frequent one alone).
 LEAST, TIER = 16, 16
+#: Slots in which pairs are counted before they are told apart.
+SLOTS = 1 << 20
+
+
+def slot_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The slot, of 2^20, of a pair of symbols."""
+    return (a * np.uint32(2654435761) ^ b * np.uint32(2246822519)) >> np.uint32(12)
 
 
 def compress(ids: np.ndarray, first: np.ndarray, base: int, most_rules: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -49,25 +57,30 @@ def compress(ids: np.ndarray, first: np.ndarray, base: int, most_rules: int | No
     symbols, first = ids.astype(np.uint32), first.astype(np.int64)
     rules, lengths = np.zeros((0, 2), np.uint32), np.zeros(0, np.uint32)
     while len(symbols) >= 2 and len(rules) < most_rules:  # a round leaves fewer symbols
-        inner = np.ones(len(symbols) - 1, dtype=bool)
-        ends = first[1:-1]
-        inner[ends[(ends > 0) & (ends < len(symbols))] - 1] = False
         # slots of a small hash table bound each pair's count from above; only pairs of frequent slots are counted
-        slot = (symbols[:-1] * np.uint32(2654435761) ^ symbols[1:] * np.uint32(2246822519)) >> np.uint32(12)
-        counts = np.bincount(slot[inner], minlength=1 << 20)
-        likely = np.flatnonzero(inner & (counts >= LEAST)[slot])
-        if not len(likely):
+        slot = slot_of(symbols[:-1], symbols[1:])
+        ends = first[1:-1]
+        slot[ends[(ends > 0) & (ends < len(symbols))] - 1] = SLOTS  # pairs across the end of a document
+        counts = np.bincount(slot, minlength=SLOTS + 1)
+        counts[SLOTS] = 0
+        for bound in dict.fromkeys((max(LEAST, int(counts.max()) // TIER), LEAST)):
+            likely = np.flatnonzero((counts >= bound)[slot])
+            pairs = symbols[likely].astype(np.uint64) << np.uint64(32) | symbols[likely + 1]
+            unique, times = np.unique(pairs, return_counts=True)
+            if len(times) and times.max() >= bound:
+                break
+        if not len(times) or times.max() < LEAST:
             break
-        pairs = symbols[likely].astype(np.uint64) << np.uint64(32) | symbols[likely + 1]
-        unique, times = np.unique(pairs, return_counts=True)
         often = times >= max(LEAST, int(times.max()) // TIER)
         order = np.lexsort((unique[often], -times[often]))[: most_rules - len(rules)]
         chosen = np.sort(unique[often][order])
-        if not len(chosen) or times.max() < LEAST:
-            break
-        rank = np.minimum(np.searchsorted(chosen, pairs), len(chosen) - 1)
-        hit = chosen[rank] == pairs
-        at, rank = likely[hit], rank[hit]
+        # pairs whose slot holds a chosen one are few enough to look up
+        marked = np.zeros(SLOTS + 1, dtype=bool)
+        marked[slot_of((chosen >> np.uint64(32)).astype(np.uint32), chosen.astype(np.uint32))] = True
+        some = np.flatnonzero(marked[slot[likely]])
+        rank = np.minimum(np.searchsorted(chosen, pairs[some]), len(chosen) - 1)
+        hit = chosen[rank] == pairs[some]
+        at, rank = likely[some[hit]], rank[hit]
         # keep every second of occurrences that follow each other directly
         fresh = np.append(True, np.diff(at) > 1)
         start = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
@@ -79,7 +92,7 @@ def compress(ids: np.ndarray, first: np.ndarray, base: int, most_rules: int | No
         stay = np.ones(len(symbols), dtype=bool)
         stay[at + 1] = False
         rules, lengths = np.concatenate([rules, new]), np.concatenate([lengths, size[new[:, 0]] + size[new[:, 1]]])
-        first = np.concatenate([[0], np.cumsum(stay)])[first]
+        first = first - np.searchsorted(at + 1, first)
         symbols = symbols[stay]
     return symbols, first, rules, lengths
 
