@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that every executor sees: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that every executor sees: spark.checkpoint.dir, or one of our own where it is unset and the master is local."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), f"panelforge-{os.getpid()}"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")
@@ -43,6 +45,30 @@ def partitions(df: DataFrame, wanted: int | None = None) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), wanted or 1)
 
 
+def broadcast_few(table: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """The table, to be broadcast if it has at most `most` rows."""
+    return F.broadcast(table) if table.count() <= most else table
+
+
+def keep_first(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs without those that stand behind another one of their group. found: a row for each row of docs, with
+    its doc_id, th (a hash of its text), and the group's name, of two columns, c and f.
+
+    Of each group the row of the smallest id stays (rows without one come last, equal ids are in the order of th); of rows
+    that repeat an id and a text, one.
+    """
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    best = found.groupBy(F.col("c").alias("__c"), F.col("f").alias("__f")).agg(F.min(place).alias("best"), F.count("*").alias("n")).where("n > 1")
+    met = found.join(best, F.col("__c").eqNullSafe(F.col("c")) & F.col("__f").eqNullSafe(F.col("f")))
+    rows = through_table(met.groupBy("doc_id", "th").agg(F.max(place != F.col("best")).alias("gone"), F.count("*").alias("n")).where("gone or n > 1"), "not-first")
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.xxhash64(f"`{text_col}`") == F.col("__th"))
+    gone, repeated = (broadcast_few(rows.where(w).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"))) for w in ("gone", "not gone"))
+    left = docs.join(gone, same, "left_anti")
+    if not repeated.isEmpty():
+        left = left.join(repeated, same, "left_anti").unionByName(left.join(repeated, same, "left_semi").dropDuplicates([id_col, text_col]))
+    return left
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(vertex, root) for every vertex of edges (a, b); root is the smallest vertex that can be reached.
 

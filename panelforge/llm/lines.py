@@ -12,12 +12,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import connected_components, through_table
+from .cluster import broadcast_few, connected_components, through_table
 
 EDITS = 2
 #: Shorter lines are copies only of equal lines: two edits make another line of them.
 LEAST_CHARS = 20
-#: Keys that a broadcast may hold (of wider rows a tenth as many); more go through a shuffle.
+#: Verdicts that a broadcast may hold; more go through a shuffle.
+WIDE_ROWS = 200_000
+#: Numbers that a broadcast of removed lines may hold.
 BROADCAST_ROWS = 2_000_000
 
 
@@ -148,11 +150,6 @@ def meetings(entries: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def broadcast_few(table: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """The table, to be broadcast if it has at most `most` rows."""
-    return F.broadcast(table) if table.count() <= most else table
-
-
 def classify_lines(docs: DataFrame, edits: int = EDITS, id_col: str = "doc_id", text_col: str = "text", components: bool = False) -> DataFrame:
     """One row for each row of docs: doc_id, dh, n_lines, removed (positions of lines to remove), classes, n_links.
 
@@ -179,7 +176,7 @@ def classify_lines(docs: DataFrame, edits: int = EDITS, id_col: str = "doc_id",
         verdict = verdict.join(roots.join(named, "root").select("h1", "h2", "reached"), ["h1", "h2"], "left")
     reached = F.coalesce("reached", "first") if components else F.col("first")
     verdict = through_table(verdict.select("h1", "h2", "first", "near", F.coalesce("links", F.lit(0)).alias("links"), reached.alias("reached")), "line-verdicts")
-    judged = line_rows(docs).select("doc_id", "dh", "pos", "h1", "h2").join(broadcast_few(verdict, BROADCAST_ROWS // 10), ["h1", "h2"]).select(
+    judged = line_rows(docs).select("doc_id", "dh", "pos", "h1", "h2").join(broadcast_few(verdict, WIDE_ROWS), ["h1", "h2"]).select(
         "doc_id", "dh", "pos", "links", F.least("first", "near").alias("class"), "reached",
         (F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "dh", "pos") > F.least("first", "near")).alias("gone"),
     ).distinct()

@@ -15,5 +15,6 @@ QUERIES = {
     "op8_byte_bpe": queries_b.op8_byte_bpe,
     "op9_line_dedup": queries_c.op9_line_dedup,
     "op10_minhash": queries_c.op10_minhash,
+    "minhash_near_duplicates": queries_c.minhash_near_duplicates,
 }
 ORACLE: dict[str, str] = {"op3_decontamination": oracle.OP3, "op4_suffix_arrays": oracle.OP4}

@@ -14,6 +14,13 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(documents(spark, sf_dir))
 
 
+def minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other half of operator 10: classes of documents over banded, verified links."""
+    from .minhash import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir)).select("doc_id", "class_id", "n_links")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .positions import contaminated
 

@@ -10,13 +10,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import connected_components, through_table
+from .cluster import connected_components, keep_first, partitions, through_table
 
 #: A bucket of more fingerprints than this is linked by two-wildcard keys, which is exact and linear, not by pairs.
 BUCKET = 1024
 SHINGLE = 3
-#: Keys that a broadcast may hold; more go through a shuffle.
-BROADCAST_ROWS = 2_000_000
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -34,13 +32,13 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, th, fp) for each row of docs; th is a hash of the text. A null text has no words, so its fingerprint is 0."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
 
     def run(batches):
         for batch in batches:
-            fps = [fingerprint(b"" if t is None else t.encode()) for t in batch.column(2).to_pylist()]
+            fps = [fingerprint(b"" if t is None else t.encode(), shingle) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], ["doc_id", "th", "fp"])
 
     kind = dict(docs.dtypes)["doc_id"]
@@ -60,7 +58,9 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """
     half = "CASE WHEN {s} = 0 THEN fp & 4294967295L ELSE shiftrightunsigned(fp, 32) END"
     slots = F.expr("concat(transform(sequence(0, 63), i -> struct(i AS slot, CAST(i / 32 AS INT) AS s)), array(struct(64 AS slot, 0 AS s), struct(65 AS slot, 1 AS s)))")
-    keyed = fps.select("fp", F.explode(slots).alias("k")).select("fp", F.col("k.slot").alias("slot"), F.col("k.s").alias("s"))
+    # fingerprints are few bytes: a small table would be keyed by as few tasks as it has files
+    spread = fps.repartition(partitions(fps), "fp")
+    keyed = spread.select("fp", F.explode(slots).alias("k")).select("fp", F.col("k.slot").alias("slot"), F.col("k.s").alias("s"))
     keyed = keyed.select(
         "fp", "slot",
         F.expr("CASE WHEN slot < 64 THEN " + half.format(s="s") + " & ~shiftleft(1L, slot % 32) ELSE " + half.format(s="s") + " END").alias("part"),
@@ -86,14 +86,14 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return pairs.union(stars).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET, shingle: int = SHINGLE) -> DataFrame:
     """One row for each row of docs: doc_id, th (a hash of the text), fp, component_id (the smallest doc_id reachable over links).
 
     Nulls: a null text has fingerprint 0, which is linked like any other; a row with a null id keeps it, and takes
     part in links, but can't name a component unless no row of the component has an id. Repeated rows and ties share a
     fingerprint and so a component. An empty table gives an empty result. Other columns of docs are not read.
     """
-    fps = through_table(fingerprints(docs, id_col, text_col), "simhash-fp")
+    fps = through_table(fingerprints(docs, id_col, text_col, shingle), "simhash-fp")
     distinct = through_table(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     roots = through_table(connected_components(links(distinct.select("fp"), bucket)), "simhash-roots")
     named = roots.join(distinct, F.col("vertex") == F.col("fp")).groupBy("root").agg(F.min("least").alias("best"))
@@ -102,20 +102,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(labels, "fp").select("doc_id", "th", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """The rows of docs without near-duplicates: of each component the row of the smallest id (rows without one come last,
     and equal ids are in the order of a hash of their texts); of rows that repeat an id and a text, one."""
-    found = through_table(near_duplicates(docs, id_col, text_col), "simhash-found")
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    found = near_duplicates(docs, id_col, text_col, shingle=shingle)
     # a component has one name, or none if no row of it has an id: then its fingerprints' rows stand for themselves
-    name = [F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fp"))]
-    best = found.groupBy(*[c.alias(n) for c, n in zip(name, ("c", "f"))]).agg(F.min(place).alias("best"), F.count("*").alias("n")).where("n > 1")
-    met = found.join(best, F.col("c").eqNullSafe(name[0]) & F.col("f").eqNullSafe(name[1]))
-    rows = through_table(met.groupBy("doc_id", "th").agg(F.max(place != F.col("best")).alias("gone"), F.count("*").alias("n")).where("gone or n > 1"), "simhash-gone")
-    same = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.xxhash64(f"`{text_col}`") == F.col("__th"))
-    marks = [rows.where(w).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")) for w in ("gone", "not gone")]
-    gone, repeated = (F.broadcast(m) if m.count() <= BROADCAST_ROWS else m for m in marks)
-    left = docs.join(gone, same, "left_anti")
-    if not marks[1].isEmpty():
-        left = left.join(repeated, same, "left_anti").unionByName(left.join(repeated, same, "left_semi").dropDuplicates([id_col, text_col]))
-    return left
+    named = found.select("doc_id", "th", F.col("component_id").alias("c"), F.when(F.col("component_id").isNull(), F.col("fp")).alias("f"))
+    return keep_first(docs, through_table(named, "simhash-found"), id_col, text_col)

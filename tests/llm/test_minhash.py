@@ -45,20 +45,48 @@ def test_edited(spark, docs):
     assert sorted((r.doc_id or -1, r.n_chars) for r in minhash.edited_fingerprints(odd).collect()) == [(-1, 0), (-1, 3), (4, 7), (4, 7), (9, 0)]
 
 
-def test_near_duplicates(spark, docs):
-    rows = docs.select("doc_id", "text").collect()
-    parent = {r.doc_id: r.doc_id for r in rows}
+def classes_of(rows, threshold=0.8):
+    parent = {d: d for d, _ in rows}
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for a in rows:
-        for b in rows:
-            if a.doc_id < b.doc_id and jaccard(a.text, b.text) >= 0.8:
-                x, y = find(a.doc_id), find(b.doc_id)
-                parent[max(x, y)] = min(x, y)
+    for a, x in rows:
+        for b, y in rows:
+            if a < b and jaccard(x, y) >= threshold:
+                p, q = find(a), find(b)
+                parent[max(p, q)] = min(p, q)
+    return {d: find(d) for d, _ in rows}
+
+
+def test_near_duplicates(spark, docs):
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     got = {r.doc_id: r.class_id for r in minhash.near_duplicates(docs).collect()}
-    assert got == {r.doc_id: find(r.doc_id) for r in rows}
+    assert got == classes_of(rows)
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_large_buckets_are_cut(spark):
+    # chains of edits of one text: all share bands, few are near the first one of a bucket
+    rng = np.random.default_rng(4)
+    words, rows = [f"w{i}" for i in rng.integers(0, 500, 120)], []
+    for i in range(40):
+        words = [f"x{i}-{j}" if rng.random() < 0.012 else w for j, w in enumerate(words)]
+        rows.append((100 - i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = classes_of(rows)
+    assert len(set(want.values())) < 40
+    for small in (3, 64):
+        assert {r.doc_id: r.class_id for r in minhash.near_duplicates(docs, small=small).collect()} == want
+
+
+def test_nulls_repeats_and_links(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(None, text), (5, text), (5, text), (7, text + " more"), (None, "alone here"), (9, None), (3, ""), (None, "two of them"), (None, "two of them")]
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, key int, th int")
+    got = sorted((r.doc_id or -1, r.class_id or -1, r.n_links) for r in minhash.near_duplicates(docs).collect())
+    assert got == [(-1, -1, 0), (-1, -1, 0), (-1, -1, 0), (-1, 5, 1), (3, 3, 0), (5, 5, 1), (5, 5, 1), (7, 5, 1), (9, 3, 0)]
+    kept = sorted((r.doc_id or -1, r.text) for r in minhash.keep_one(docs).collect())
+    assert kept == [(-1, "alone here"), (-1, "two of them"), (3, ""), (5, text)]
