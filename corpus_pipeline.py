@@ -10,16 +10,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelforge.llm import minhash, simhash
 from panelforge.llm.bpe import encode_documents
-from panelforge.llm.cluster import through_table
+from panelforge.llm.cluster import broadcast_few, through_table
 from panelforge.llm.language import fit, predict
 from panelforge.llm.lines import remove_lines
 from panelforge.llm.positions import contaminated
 from panelforge.llm.queries_b import tokenizer_path
-from panelforge.llm.simhash import BROADCAST_ROWS, keep_one
 
 #: A text is rejected if no language has this probability, or if it has no letter.
 LEAST_SCORE = 0.5
+#: Near-duplicates share this of their shingles of so many words.
+SHINGLE, JACCARD = 5, 0.8
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +36,13 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each SimHash component."""
-    return keep_one(docs)
+    """Keeps one document of each group of near-duplicates, on shingles of five words.
+
+    SimHash components go first. A Jaccard similarity of 0.8 moves about ten of 64 bits, which no segment variants can
+    index; so what SimHash leaves is compared by MinHash bands, with the Jaccard similarity verified. Null and empty texts
+    are alike; of an empty table nothing is kept.
+    """
+    return minhash.keep_one(simhash.keep_one(docs, shingle=SHINGLE), JACCARD)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +50,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     hashed = docs.select(F.xxhash64("text").alias("th"), "text")
     found = contaminated(hashed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="th").where(F.size("spans") > 0)
     hits = through_table(found.select(F.col("doc_id").alias("__th")).distinct(), "contaminated")
-    few = hits.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(hits) if few else hits, F.xxhash64("text") == F.col("__th"), "left_anti")
+    return docs.join(broadcast_few(hits), F.xxhash64("text") == F.col("__th"), "left_anti")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
