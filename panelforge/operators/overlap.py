@@ -46,3 +46,25 @@ def sorted_set_digest(df: DataFrame, column: str, head: str) -> DataFrame:
     """One row: SHA-256 of head and the sorted distinct values, one a line."""
     lines = F.array_join(F.array_sort(F.collect_set(column)), "\n")
     return df.agg(F.sha2(F.concat(F.lit(head + "\n"), lines), 256).alias("digest"), F.count_distinct(column).alias("n"))
+
+
+def content_report(candidates: DataFrame, references: DataFrame, name: str, hashed: str) -> DataFrame:
+    """(candidate, reference, shared, n, share) for every pair of differently named tables that share a hash: distinct
+    hashes meet by equality, so only tables with a common one do."""
+    a = candidates.select(F.col(name).alias("candidate"), F.col(hashed).alias("h")).distinct()
+    b = references.select(F.col(name).alias("reference"), F.col(hashed).alias("h")).distinct()
+    n = a.groupBy("candidate").agg(F.count("*").alias("n"))
+    pairs = a.join(b, "h").where("candidate != reference").groupBy("candidate", "reference").agg(F.count("*").alias("shared"))
+    return pairs.join(n, "candidate").withColumn("share", F.col("shared") / F.col("n"))
+
+
+def overlaps(row_share, columns, column_share):
+    """Whether two tables hold the same data: half of the rows, or three columns or more that are half of all."""
+    return (row_share >= 0.5) | ((columns >= 3) & (column_share >= 0.5))
+
+
+def best_match(report: DataFrame) -> DataFrame:
+    """For each candidate the best reference: overlapping ones first, then by share, then by name."""
+    held = report.withColumn("overlaps", overlaps(F.col("share"), F.lit(0), F.lit(0.0)))
+    best = held.groupBy("candidate").agg(F.min(F.struct((~F.col("overlaps")).alias("apart"), (-F.col("share")).alias("less"), "reference", "shared", "share", "overlaps")).alias("b"))
+    return best.select("candidate", "b.reference", "b.shared", "b.share", "b.overlaps")

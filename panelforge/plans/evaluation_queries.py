@@ -192,14 +192,14 @@ def seed_paired_gap(t, spark):
 
 
 @query(f"""WITH r AS ({RES}), s AS (SELECT task, method, avg(error) AS mean, stddev_samp(error) AS sd, count(*) AS n FROM r GROUP BY 1, 2), p AS (SELECT *, least(1e0, 2 * exp(-abs(mean - 15e4) / (sd / sqrt(n)))) AS p FROM s WHERE n > 1), a AS (SELECT *, least(1e0, p * (count(*) OVER (PARTITION BY method) - row_number() OVER (PARTITION BY method ORDER BY p, task) + 1)) AS adj FROM p)
-SELECT task, method, round(mean, 3) AS mean, round(sd, 3) AS sd, round(max(adj) OVER (PARTITION BY method ORDER BY p, task), 5) AS p_holm FROM a""")
+SELECT task, method, round(mean, 1) AS mean, round(sd, 1) AS sd, round(max(adj) OVER (PARTITION BY method ORDER BY p, task), 5) AS p_holm FROM a""")
 def seeds_with_pooled_family(t, spark):
     """Mean and deviation over seeds of two merged runs, and a step-down adjustment over the pooled family."""
     r = results(t)
     both = L.merged_runs([r.where("task < 7"), r.where("task >= 7")], ["task", "method", "split"])
     s = both.groupBy("task", "method").agg(F.avg("error").alias("mean"), F.stddev_samp("error").alias("sd"), F.count("*").alias("n")).where("n > 1")
     p = s.withColumn("p", F.least(F.lit(1.0), 2 * F.exp(-F.abs(F.col("mean") - 15e4) / (F.col("sd") / F.sqrt("n")))))
-    return U.family(p, ["method"], "task").select("task", "method", F.round("mean", 3).alias("mean"), F.round("sd", 3).alias("sd"), F.round("p_holm", 5).alias("p_holm"))
+    return U.family(p, ["method"], "task").select("task", "method", F.round("mean", 1).alias("mean"), F.round("sd", 1).alias("sd"), F.round("p_holm", 5).alias("p_holm"))
 
 
 @query(f"WITH m AS (SELECT DISTINCT method FROM ({RES})) SELECT a.method AS a, b.method AS b, least(1e0, 10e0 / 2001) AS least_p FROM m a JOIN m b ON a.method != b.method WHERE b.method IN ('1-URGENT', '3-MEDIUM') AND (a.method NOT IN ('1-URGENT', '3-MEDIUM') OR b.method < a.method)")
