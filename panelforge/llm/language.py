@@ -13,10 +13,9 @@ from pyspark.sql import functions as F
 from .cluster import through_table
 
 WORD = re.compile(r"[^\W\d_]+")
-#: Documents that a model is fitted on, at most, in expectation: a sample by the hash of their ids.
+#: Documents that a model is fitted on, at most, in expectation: a sample by a hash of their ids and texts. It bounds the
+#: words and n-grams of a model, all of which it keeps that occur LEAST times.
 FIT_DOCUMENTS = 20_000
-#: Words and n-grams of a model, at most: the most frequent ones.
-MOST_WORDS, MOST_GRAMS = 100_000, 200_000
 LONGEST, LEAST = 5, 3
 #: Words of which one worker remembers the evidence.
 REMEMBERED = 500_000
@@ -32,38 +31,45 @@ def grams_of(word: str, size: int) -> list[str]:
     return [marked[i : i + size] for i in range(len(marked) - size + 1)]
 
 
+class Table:
+    """Rows of log shares by key, in one matrix."""
+
+    def __init__(self, keys: list[str], counts: np.ndarray):
+        """counts: a row for each key, a column for each language. A row: log of the key's smoothed share in each language,
+        less the largest."""
+        self.at = dict(zip(keys, range(len(keys))))
+        table = np.asarray(counts, dtype=np.float64)
+        logs = np.log((table + 0.5) / (table.sum(axis=0) + 0.5 * len(table) + 0.5))
+        self.logs = (logs - logs.max(axis=1, keepdims=True)).astype(np.float32) if logs.size else logs.astype(np.float32)
+
+
 class Model:
-    """Log shares of words and of n-grams in each language; evidence(word) adds to each language's score."""
+    """Log shares of words and of n-grams (by their size) in each language; evidence(word) adds to each language's score."""
 
-    def __init__(self, languages: list[str], words: dict[str, np.ndarray], grams: list[dict[str, np.ndarray]]):
+    def __init__(self, languages: list[str], words: Table, grams: dict[int, Table]):
         self.languages, self.words, self.grams = languages, words, grams
 
     def evidence(self, word: str) -> np.ndarray:
         """The known word's log shares; else the mean of its known n-grams', from the longest size of which one is known; else none."""
-        found = self.words.get(word)
-        if found is None:
-            for size in range(LONGEST, 0, -1):
-                known = [g for g in map(self.grams[size].get, grams_of(word, size)) if g is not None]
+        found = self.words.at.get(word)
+        if found is not None:
+            return self.words.logs[found]
+        for size in range(LONGEST, 0, -1):
+            if size in self.grams:
+                at = self.grams[size].at
+                known = [at[g] for g in grams_of(word, size) if g in at]
                 if known:
-                    return np.mean(known, axis=0)
-            return np.zeros(len(self.languages), np.float32)
-        return found
-
-
-def shares(counts: dict[str, dict[str, int]], languages: list[str]) -> dict[str, np.ndarray]:
-    """Per key: log of its smoothed share in each language, less the largest."""
-    table = np.array([[by.get(x, 0) for x in languages] for by in counts.values()], dtype=np.float64).reshape(len(counts), len(languages))
-    logs = np.log((table + 0.5) / (table.sum(axis=0) + 0.5 * len(table) + 0.5))
-    logs = (logs - logs.max(axis=1, keepdims=True)).astype(np.float32) if logs.size else logs
-    return dict(zip(counts, logs))
+                    return self.grams[size].logs[known].mean(axis=0)
+        return np.zeros(len(self.languages), np.float32)
 
 
 def fit(docs: DataFrame, fit_documents: int = FIT_DOCUMENTS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Learn from the rows with a text and a language. Counting is distributed; the driver gets MOST_WORDS words and MOST_GRAMS n-grams of each size, at most."""
+    """Learn from the rows with a text and a language. Counting is distributed; the driver gets the words and n-grams of a
+    sample that fit_documents bounds. Rows that repeat an id and a text are in it or not together; a null id counts as one."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     n = docs.where(F.col(lang_col).isNotNull()).count()
     if n > fit_documents:
-        rows = rows.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 40)) < int(fit_documents / n * (1 << 40)))
+        rows = rows.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text"), F.lit(1 << 40)) < int(fit_documents / n * (1 << 40)))
 
     def count(batches):
         for batch in batches:
@@ -87,13 +93,14 @@ def fit(docs: DataFrame, fit_documents: int = FIT_DOCUMENTS, id_col: str = "doc_
     words = through_table(rows.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "language-words")
     languages = sorted(r.lang for r in words.select("lang").distinct().collect())
 
-    def top(df: DataFrame, key: str, most: int) -> dict[str, dict[str, int]]:
-        total = df.groupBy(key).agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")).where(F.col("all") >= LEAST)
-        return {r[key]: r.by for r in total.orderBy(F.desc("all"), key).limit(most).collect()}
+    def table(df: DataFrame, key: str) -> Table:
+        by = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{i}") for i, x in enumerate(languages)]
+        got = df.groupBy(key).agg(*by, F.sum("n").alias("all")).where(F.col("all") >= LEAST).drop("all").toArrow()
+        return Table(got.column(0).to_pylist(), np.stack([got.column(i + 1).to_numpy() for i in range(len(languages))], axis=1) if languages else np.zeros((0, 0)))
 
     grams = through_table(words.mapInArrow(spread, "lang string, size int, gram string, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")), "language-grams")
-    by_size = [{}] + [shares(top(grams.where(F.col("size") == size), "gram", MOST_GRAMS), languages) for size in range(1, LONGEST + 1)]
-    return Model(languages, shares(top(words, "word", MOST_WORDS), languages), by_size)
+    by_size = {size: table(grams.where(F.col("size") == size), "gram") for size in range(1, LONGEST + 1)} if languages else {}
+    return Model(languages, table(words, "word") if languages else Table([], np.zeros((0, 0))), by_size)
 
 
 class Evidence(dict):
@@ -128,10 +135,11 @@ def predict_one(text: str | None, evidence: Evidence) -> tuple[str, float]:
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """All rows and columns of docs, with lang_pred and score (the probability of that language) put in place of any columns of these names.
 
-    A null text, one without a letter, or a model of no languages gives `und` and 0. Only the text is read.
+    A null text, one without a letter, or a model of no languages gives `und` and 0. Only the text is read, so repeated rows
+    have one result; of languages with equal scores the first in alphabetical order is named.
     """
     docs = docs.drop("lang_pred", "score")
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MOST_WORDS and MOST_GRAMS
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the model's sample
     known: dict = {}
     where = docs.columns.index(text_col)
 

@@ -164,7 +164,7 @@ def signer(sets: bool):
     def run(batches):
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for a, b in groups(texts):
+            for a, b in groups(texts, 1_000_000):
                 marks, begin = shingles(encoded(texts[a:b]))
                 held = [np.unique(marks[x:y]).astype("<u4").tobytes() for x, y in zip(begin[:-1].tolist(), begin[1:].tolist())]
                 rows = [r.astype("<u2").tobytes() for r in signatures(marks, begin)]

@@ -1,5 +1,10 @@
+import math
 import random
+import re
+from collections import Counter
+from types import SimpleNamespace
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from panelforge.llm import language
@@ -26,11 +31,45 @@ def test_held_out_accuracy(spark):
 
 
 def test_unseen_words_back_off():
-    model = language.Model(["a", "b"], {"known": language.np.array([0, -3], "f4")}, [{}, {"q": language.np.array([-2, 0], "f4")}, {"\x02z": language.np.array([-1, 0], "f4")}, {}, {}, {}])
+    table = lambda key, logs: SimpleNamespace(at={key: 0}, logs=np.array([logs], "f4"))
+    model = language.Model(["a", "b"], table("known", [0, -3]), {1: table("q", [-2, 0]), 2: table("\x02z", [-1, 0])})
     assert model.evidence("known").tolist() == [0, -3]
     assert model.evidence("zq").tolist() == [-1, 0]  # a known pair comes before a known letter
     assert model.evidence("yq").tolist() == [-2, 0]
     assert model.evidence("ü").tolist() == [0, 0]
+    # a tie: the first language in alphabetical order
+    assert language.predict_one("ü", language.Evidence(model)) == ("a", 0.5)
+
+
+def brute(rows, text):
+    """The language and score of a text, by the definition: counts in dictionaries, logs by math."""
+    languages = sorted({la for _, la in rows if la})
+    words = [(w, la) for t, la in rows if t and la for w in re.findall(r"[^\W\d_]+", t.lower())]
+    grams = lambda w, k: [m[i : i + k] for m in ["\x02" + w + "\x03" if k > 1 else w] for i in range(len(m) - k + 1)]
+    counts = {0: Counter(words)} | {k: Counter((g, la) for w, la in words for g in grams(w, k)) for k in range(1, 6)}
+    kept = {k: {x for x, _ in c if sum(c[x, la] for la in languages) >= 3} for k, c in counts.items()}
+    total = {(k, la): sum(c[x, la] for x in kept[k]) for k, c in counts.items() for la in languages}
+
+    def logs(k, x):
+        raw = [math.log((counts[k][x, la] + 0.5) / (total[k, la] + 0.5 * len(kept[k]) + 0.5)) for la in languages]
+        return [r - max(raw) for r in raw]
+
+    score = [0.0] * len(languages)
+    for w in re.findall(r"[^\W\d_]+", text.lower()):
+        found = [logs(0, w)] if w in kept[0] else next((some for k in range(5, 0, -1) if (some := [logs(k, g) for g in grams(w, k) if g in kept[k]])), [])
+        score = [s + sum(f[i] for f in found) / max(1, len(found)) for i, s in enumerate(score)]
+    best = max(range(len(languages)), key=lambda i: score[i])
+    return languages[best], 1 / sum(math.exp(s - score[best]) for s in score)
+
+
+def test_equals_brute_force(spark):
+    docs = corpus(spark, 120)
+    rows = docs.collect()
+    model = language.fit(docs.where("doc_id % 5 != 0"))
+    seen = [(r.text, r.lang) for r in rows if r.doc_id % 5]
+    for r in language.predict(docs.withColumn("text", F.concat("text", F.lit(" unseenwörd stüng 12"))), model).collect():
+        lang, score = brute(seen, r.text)
+        assert r.lang_pred == lang and abs(r.score - score) < 1e-4
 
 
 def test_nulls_and_no_letters(spark):
