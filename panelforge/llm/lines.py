@@ -201,7 +201,11 @@ def line_components(docs: DataFrame, edits: int = EDITS, id_col: str = "doc_id",
 
 
 def remove_lines(docs: DataFrame, edits: int = EDITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the lines that classify_lines removes taken out of their texts; all rows and columns stay."""
+    """docs with the lines that classify_lines removes taken out of their texts; all rows and columns stay.
+
+    Null texts stay null, and blank lines stay; of equal lines the first stays (smallest id, then place). Rows that repeat
+    an id and a text lose the same lines; rows without an id stand after all others. An empty table gives no rows.
+    """
     found = classify_lines(docs, edits, id_col, text_col).where(F.size("removed") > 0)
     gone = through_table(found.groupBy("doc_id", "dh").agg(F.first("removed").alias("__removed")).select(F.col("doc_id").alias("__id"), F.col("dh").alias("__dh"), "__removed"), "line-removed")
     gone = F.broadcast(gone) if gone.select(F.coalesce(F.sum(F.size("__removed") + 6), F.lit(0))).first()[0] <= BROADCAST_ROWS else gone

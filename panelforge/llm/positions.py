@@ -269,7 +269,9 @@ def ask(spark, index: DataFrame, queries: Queries) -> DataFrame:
 def proximity(docs: DataFrame, phrases: list[str], span: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, phrase, start, end): the shortest stretches of at most span words that hold every word of a phrase, in any order.
 
-    phrases is a short list of the caller's; a phrase of no words is nowhere.
+    phrases is a short list of the caller's; a phrase of no words is nowhere. A null or empty text has no stretches; rows
+    with a null id, and each repeated row, have their own; an empty table gives an empty result. Of stretches of one end
+    the shortest is given.
     """
     spark = docs.sparkSession
     index = spark.read.schema(INDEX).parquet(build_index(docs, id_col, text_col))

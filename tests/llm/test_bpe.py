@@ -67,3 +67,11 @@ def test_whole_operator(spark, docs):
     for r in docs.select("doc_id", "text").collect():
         assert rows[r.doc_id] == (encoding.encode_ordinary(r.text or ""), (r.text or "").encode())
     assert bpe.encode_documents(docs.limit(0), PATH).count() == 0
+
+
+def test_null_ids_and_repeated_rows(spark, encoding):
+    rows = [(None, "some words"), (3, "some words"), (3, "some words"), (None, None), (5, "")]
+    docs = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, ids int")
+    got = sorted((r.doc_id or -1, bytes(r.bytes).decode(), len(r.ids) // 4) for r in bpe.encode_documents(docs, PATH, decode=True).collect())
+    n = len(encoding.encode_ordinary("some words"))
+    assert got == [(-1, "", 0), (-1, "some words", n), (3, "some words", n), (3, "some words", n), (5, "", 0)]

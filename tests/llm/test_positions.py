@@ -63,3 +63,11 @@ def test_proximity_equals_brute_force(spark, docs):
             found = [(a, b) for a in range(len(w)) for b in range(a + 1, min(len(w), a + span) + 1) if need and need <= set(w[a:b])]
             want |= {(d, p, a, b) for a, b in found if (a + 1, b) not in found and (a, b - 1) not in found}
     assert got == want
+
+
+def test_proximity_of_odd_rows(spark):
+    rows = [(None, "a b c"), (4, "c x a"), (4, "c x a"), (5, None), (6, ""), (7, "a a c")]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, phrase int")
+    got = sorted((r.doc_id or -1, r.start, r.end) for r in positions.proximity(docs, ["A c"], 3).collect())
+    assert got == [(-1, 0, 3), (4, 0, 3), (4, 0, 3), (7, 1, 3)]
+    assert positions.proximity(docs.limit(0), ["a"], 3).count() == 0

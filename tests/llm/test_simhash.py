@@ -67,3 +67,10 @@ def test_links_connect_exactly_near_fingerprints(spark):
             x, y = find(at[a]), find(at[b])
             parent[max(x, y)] = min(x, y)
         assert {i: find(i) for i in range(len(prints))} == want
+
+
+def test_null_ids_and_repeated_rows(spark):
+    rows = [(None, "a b c d"), (6, "a b c d"), (6, "a b c d"), (2, "A b C d"), (None, None), (8, ""), (None, "other words stand here alone"), (None, "other words stand here alone")]
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, fp int, slot int")
+    got = sorted((r.doc_id or -1, r.component_id or -1) for r in simhash.near_duplicates(docs).collect())
+    assert got == [(-1, -1), (-1, -1), (-1, 2), (-1, 8), (2, 2), (6, 2), (6, 2), (8, 8)]

@@ -46,3 +46,12 @@ def test_whole_operator(spark, docs):
         t = t[:3] + "x y" + t[9:] + " end"
         assert r.edited == t and r.n_tokens_edited == len(counter.encoding.encode_ordinary(t))
     assert token_tree.count_edited(edited.limit(0), PATH, P.PATTERN).count() == 0
+
+
+def test_null_ids_and_repeated_rows(spark):
+    rows = [(None, "some words"), (3, "some words"), (3, "some words"), (None, None), (5, "")]
+    docs = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, n_tokens int").withColumn("edits", F.expr("array(named_struct('start', 0L, 'end', 4L, 'new', 'More'))"))
+    got = sorted((r.doc_id or -1, r.edited, r.n_tokens > 0) for r in token_tree.count_edited(docs, PATH, P.PATTERN).collect())
+    assert got == [(-1, "More", False), (-1, "More words", True), (3, "More words", True), (3, "More words", True), (5, "More", False)]
+    plain = token_tree.count_edited(docs.withColumn("edits", F.lit(None).cast(docs.schema["edits"].dataType)), PATH, P.PATTERN).collect()
+    assert sorted((r.doc_id or -1, r.edited, r.n_encoded) for r in plain) == [(-1, "", 0), (-1, "some words", 0), (3, "some words", 0), (3, "some words", 0), (5, "", 0)]
