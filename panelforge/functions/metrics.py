@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators.quantiles import quantiles
-from ..operators.running import running_sum
+from ..operators.quantiles import matches, quantiles
+from ..operators.running import mid_ranks_of, row_ranks, running_sum
 from ..operators.tables import settled
 
 
@@ -78,28 +78,25 @@ def scorecard(df: DataFrame, by: list[str], y: str = "y", p: str = "p") -> DataF
 
 def recall_at(df: DataFrame, by: list[str], k: Column, y: str = "y", p: str = "p", row: str = "_row_id") -> DataFrame:
     """Positives among the k highest scores (equal ones by row id), and their share of all."""
-    order = W.partitionBy(*by).orderBy(F.col(p).desc(), F.col(row))
-    size = W.partitionBy(*by)
-    ranked = df.withColumns({"__r": F.row_number().over(order), "__n": F.count("*").over(size)})
-    top = F.col("__r") <= k
-    return ranked.groupBy(*by).agg(F.sum(F.when(top, F.col(y)).otherwise(0)).cast("bigint").alias("hits"), F.try_divide(F.sum(F.when(top, F.col(y)).otherwise(0)).cast("double"), F.sum(y)).alias("recall"))
+    ranked = row_ranks(df.where(F.col(p).isNotNull()), by, p, [row], "__r", descending=True)
+    hit = F.sum(F.when(F.col("__r") <= k, F.col(y)).otherwise(0))
+    return ranked.groupBy(*by).agg(hit.cast("bigint").alias("hits"), F.try_divide(hit.cast("double"), F.sum(y)).alias("recall"))
 
 
 def ap_top_decile(df: DataFrame, by: list[str], y: str = "y", p: str = "p", row: str = "_row_id") -> DataFrame:
     """Precision summed over the hits among the top ceil(n / 10) rows, over min(that many, positives)."""
-    order = W.partitionBy(*by).orderBy(F.col(p).desc(), F.col(row))
-    size = W.partitionBy(*by)
-    ranked = df.withColumns({"__r": F.row_number().over(order), "__n": F.count("*").over(size), "__pos": F.sum(y).over(size)}).withColumn("__k", F.ceil(F.col("__n") / 10.0))
-    top = ranked.where("__r <= __k").withColumn("__hits", F.sum(y).over(order.rowsBetween(W.unboundedPreceding, 0)))
-    return top.groupBy(*by).agg((F.sum(F.col("__hits") / F.col("__r") * F.col(y)) / F.max(F.least(F.col("__k"), F.col("__pos")))).alias("ap_top_decile"))
+    ranked = row_ranks(df.where(F.col(p).isNotNull()), by, p, [row], "__place", descending=True)
+    sizes = df.where(F.col(p).isNotNull()).groupBy(*by).agg(F.ceil(F.count("*") / 10.0).alias("__k"), F.sum(y).alias("__pos")).withColumnsRenamed({c: f"__s_{c}" for c in by})
+    joined = ranked.join(sizes, matches(by, "__s_")) if by else ranked.crossJoin(F.broadcast(sizes))  # one row
+    top = running_sum(joined.where("__place <= __k").select(*by, "__place", "__k", "__pos", F.col(y).alias("__y")), by, "__place", {"__hits": "__y"})
+    return top.groupBy(*by).agg((F.sum(F.col("__hits") / F.col("__place") * F.col("__y")) / F.max(F.least(F.col("__k"), F.col("__pos")))).alias("ap_top_decile"))
 
 
 def mid_ranks(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
     """Adds rank_<c>: average ranks within the group."""
     out = df
     for c in columns:
-        ties = W.partitionBy(*by, c)
-        out = out.withColumn(f"rank_{c}", F.rank().over(W.partitionBy(*by).orderBy(c)) + (F.count("*").over(ties) - 1) / 2.0)
+        out = mid_ranks_of(out, by, c, f"rank_{c}")
     return out
 
 

@@ -4,12 +4,11 @@ hash of (row, salt); parameters are columns or numbers, so a table of tasks need
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import bucket, hash32, inverse_normal, uniform
 from .quantiles import matches, quantiles
-from .running import running_sum
+from .running import row_ranks, running_sum
 
 
 def finite(x: Column) -> Column:
@@ -75,14 +74,10 @@ def _hash(text: str) -> str:
 
 def rank_activation(df: DataFrame, by: list[str], column: str, key: str, name: str) -> DataFrame:
     """Adds the rank of the value within its group (equal ones by key), from -1 to 1. Ranks are prefix sums over ranges."""
-    tied_ = df.groupBy(*by, column).agg(F.count("*").alias("__n"))
-    summed = running_sum(tied_, by, column, {"__end": "__n"})
-    totals = tied_.groupBy(*by).agg(F.sum("__n").alias("__all")).withColumnsRenamed({c: f"__t_{c}" for c in by})
-    placed = (summed.join(totals, matches(by, "__t_")) if by else summed.crossJoin(F.broadcast(totals))).withColumnsRenamed({c: f"__k_{c}" for c in [*by, column]})  # one row
-    met = df.join(placed, matches([*by, column], "__k_"))
-    within = F.row_number().over(W.partitionBy(*by, column).orderBy(key))
-    rank = F.col("__end") - F.col("__n") + within - 1
-    return met.select(*df.columns, ((rank / F.greatest(F.col("__all") - 1, F.lit(1)) - 0.5) * 2).alias(name))
+    totals = df.groupBy(*by).agg(F.count("*").alias("__all")).withColumnsRenamed({c: f"__t_{c}" for c in by})
+    ranked = row_ranks(df, by, column, [key], "__rank")
+    met = ranked.join(totals, matches(by, "__t_")) if by else ranked.crossJoin(F.broadcast(totals))  # one row
+    return met.select(*df.columns, (((F.col("__rank") - 1) / F.greatest(F.col("__all") - 1, F.lit(1)) - 0.5) * 2).alias(name))
 
 
 def softmax(values: Column) -> Column:

@@ -45,3 +45,28 @@ def running_sum(df: DataFrame, by: list[str], order: str, sums: dict[str, str],
     inside = placed.withColumns({f"__in{i}": F.sum(c).over(inner) for i, c in enumerate(sums.values())})
     out = inside.join(before, match)
     return out.select(*df.columns, *[(F.col(f"__in{i}") + F.col(f"__before{i}")).alias(name) for i, name in enumerate(sums)])
+
+
+def row_ranks(df: DataFrame, by: list[str], order: str, ties: list[str], name: str, descending: bool = False) -> DataFrame:
+    """Adds the place of each row in its group (by), from 1, in the order of a number or text; equal ones by `ties`.
+
+    Rows of equal values are counted, counts are summed along the order by ranges, and only rows of one value meet in a
+    window. df must not have nulls in `order`.
+    """
+    counts = df.groupBy(*by, order).agg(F.count("*").alias("__n"))
+    placed = running_sum(counts, by, order, {"__end": "__n"}, descending).withColumnsRenamed({c: f"__k_{c}" for c in [*by, order]})
+    met = F.lit(True)
+    for c in [*by, order]:
+        met = met & F.col(c).eqNullSafe(F.col(f"__k_{c}"))
+    within = F.row_number().over(W.partitionBy(*by, order).orderBy(*ties)) if ties else F.lit(1)
+    return df.join(placed, met).select(*df.columns, (F.col("__end") - F.col("__n") + within).alias(name))
+
+
+def mid_ranks_of(df: DataFrame, by: list[str], column: str, name: str) -> DataFrame:
+    """Adds the average rank of the row's value in its group."""
+    counts = df.groupBy(*by, column).agg(F.count("*").alias("__n"))
+    placed = running_sum(counts, by, column, {"__end": "__n"}).withColumnsRenamed({c: f"__k_{c}" for c in [*by, column]})
+    met = F.lit(True)
+    for c in [*by, column]:
+        met = met & F.col(c).eqNullSafe(F.col(f"__k_{c}"))
+    return df.join(placed, met).select(*df.columns, (F.col("__end") - (F.col("__n") - 1) / 2.0).alias(name))

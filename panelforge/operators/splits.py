@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import bucket, hash32
 from .quantiles import quantiles
+from .running import row_ranks
 
 CUTS = (1 / 2, 2 / 3, 5 / 6)
 #: Classes whose counts the driver may hold.
@@ -39,9 +40,9 @@ def by_time(panel: DataFrame, entity: str, time: str, train_until: Column, test_
 
 def dealt_folds(df: DataFrame, within: list[str], unit: list[str], n: int, name: str = "fold") -> DataFrame:
     """Adds a fold of 0..n-1: units are dealt in turn within each stratum, in the order of their hashes; rows of a unit stay together."""
-    units = df.select(*within, *unit).distinct()
-    order = W.partitionBy(*within).orderBy(hash32(*unit), *unit)
-    return df.join(units.withColumn(name, ((F.row_number().over(order) - 1) % n).cast("bigint")), list(dict.fromkeys([*within, *unit])))
+    units = row_ranks(df.select(*within, *unit).distinct().withColumn("__h", hash32(*unit)), within, "__h", unit, "__place")
+    placed = units.select(*within, *[c for c in unit if c not in within], F.pmod(F.col("__place") - 1, F.lit(n)).cast("bigint").alias(name))
+    return df.join(placed, list(dict.fromkeys([*within, *unit])))
 
 
 def roles(fold: Column, turn: int, n: int) -> Column:
