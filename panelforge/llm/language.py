@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cluster import through_table
+from .pieces import slices
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Documents that a model is fitted on, at most, in expectation: a sample by a hash of their ids and texts. It bounds the
@@ -18,7 +19,7 @@ WORD = re.compile(r"[^\W\d_]+")
 FIT_DOCUMENTS = 20_000
 LONGEST, LEAST = 5, 3
 #: Words of which one worker remembers the evidence.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 
 def words_of(text: str) -> list[str]:
@@ -31,36 +32,55 @@ def grams_of(word: str, size: int) -> list[str]:
     return [marked[i : i + size] for i in range(len(marked) - size + 1)]
 
 
-class Table:
-    """Rows of log shares by key, in one matrix."""
+def log_shares(counts: np.ndarray) -> np.ndarray:
+    """From a row for each key and a column for each language: log of the key's smoothed share in each language, less the largest."""
+    table = np.asarray(counts, dtype=np.float64)
+    logs = np.log((table + 0.5) / (table.sum(axis=0) + 0.5 * len(table) + 0.5))
+    return (logs - logs.max(axis=1, keepdims=True)).astype(np.float32) if logs.size else logs.astype(np.float32)
 
-    def __init__(self, keys: list[str], counts: np.ndarray):
-        """counts: a row for each key, a column for each language. A row: log of the key's smoothed share in each language,
-        less the largest."""
-        self.at = dict(zip(keys, range(len(keys))))
-        table = np.asarray(counts, dtype=np.float64)
-        logs = np.log((table + 0.5) / (table.sum(axis=0) + 0.5 * len(table) + 0.5))
-        self.logs = (logs - logs.max(axis=1, keepdims=True)).astype(np.float32) if logs.size else logs.astype(np.float32)
 
+class Table:
+    """Rows of log shares by key. Keys are a sorted array of texts of one width, so a million take few bytes each."""
 
-class Model:
-    """Log shares of words and of n-grams (by their size) in each language; evidence(word) adds to each language's score."""
+    def __init__(self, keys: list[str], logs: np.ndarray):
+        held = np.array(keys, dtype=np.str_) if keys else np.zeros(0, "U1")
+        order = np.argsort(held)
+        self.keys, self.logs = held[order], np.asarray(logs, np.float32)[order]
 
-    def __init__(self, languages: list[str], words: Table, grams: dict[int, Table]):
-        self.languages, self.words, self.grams = languages, words, grams
+    def find(self, keys: list[str]) -> np.ndarray:
+        """The row of each key, or -1."""
+        wanted = np.array(keys, dtype=np.str_)
+        if not len(self.keys) or not len(wanted):
+            return np.full(len(wanted), -1)
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return np.where(self.keys[at] == wanted, at, -1)
 
-    def evidence(self, word: str) -> np.ndarray:
-        """The known word's log shares; else the mean of its known n-grams', from the longest size of which one is known; else none."""
-        found = self.words.at.get(word)
-        if found is not None:
-            return self.words.logs[found]
+
+class Model:
+    """Log shares of words and of n-grams (by their size) in each language."""
+
+    def __init__(self, languages: list[str], words: dict[str, int], logs: np.ndarray, grams: dict[int, Table]):
+        self.languages, self.words, self.logs, self.grams = languages, words, logs, grams
+
+    def evidence(self, words: list[str]) -> np.ndarray:
+        """What each word adds to each language's score: a known word's log shares; else the mean of its known n-grams',
+        from the longest size of which one is known; else nothing."""
+        out = np.zeros((len(words), len(self.languages)), np.float32)
+        at = np.fromiter((self.words.get(w, -1) for w in words), np.int64, len(words))
+        out[at >= 0] = self.logs[at[at >= 0]]
+        left = np.flatnonzero(at < 0)
         for size in range(LONGEST, 0, -1):
-            if size in self.grams:
-                at = self.grams[size].at
-                known = [at[g] for g in grams_of(word, size) if g in at]
-                if known:
-                    return self.grams[size].logs[known].mean(axis=0)
-        return np.zeros(len(self.languages), np.float32)
+            if size in self.grams and len(left):
+                each = [grams_of(words[i], size) for i in left.tolist()]
+                count = np.fromiter(map(len, each), np.int64, len(each))
+                at = self.grams[size].find([g for gs in each for g in gs])
+                owner = np.repeat(np.arange(len(left)), count)[at >= 0]
+                known = np.bincount(owner, minlength=len(left))
+                total = np.zeros((len(left), len(self.languages)), np.float64)
+                np.add.at(total, owner, self.grams[size].logs[at[at >= 0]])
+                out[left[known > 0]] = total[known > 0] / known[known > 0][:, None]
+                left = left[known == 0]
+        return out
 
 
 def fit(docs: DataFrame, fit_documents: int = FIT_DOCUMENTS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
@@ -93,43 +113,60 @@ def fit(docs: DataFrame, fit_documents: int = FIT_DOCUMENTS, id_col: str = "doc_
     words = through_table(rows.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "language-words")
     languages = sorted(r.lang for r in words.select("lang").distinct().collect())
 
-    def table(df: DataFrame, key: str) -> Table:
+    def table(df: DataFrame, key: str) -> tuple[list[str], np.ndarray]:
         by = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{i}") for i, x in enumerate(languages)]
         got = df.groupBy(key).agg(*by, F.sum("n").alias("all")).where(F.col("all") >= LEAST).drop("all").toArrow()
-        return Table(got.column(0).to_pylist(), np.stack([got.column(i + 1).to_numpy() for i in range(len(languages))], axis=1) if languages else np.zeros((0, 0)))
+        return got.column(0).to_pylist(), log_shares(np.stack([got.column(i + 1).to_numpy() for i in range(len(languages))], axis=1))
 
+    if not languages:
+        return Model([], {}, np.zeros((0, 0), np.float32), {})
     grams = through_table(words.mapInArrow(spread, "lang string, size int, gram string, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")), "language-grams")
-    by_size = {size: table(grams.where(F.col("size") == size), "gram") for size in range(1, LONGEST + 1)} if languages else {}
-    return Model(languages, table(words, "word") if languages else Table([], np.zeros((0, 0))), by_size)
+    by_size = {size: Table(*table(grams.where(F.col("size") == size), "gram")) for size in range(1, LONGEST + 1)}
+    names, logs = table(words, "word")
+    return Model(languages, dict(zip(names, range(len(names)))), logs, by_size)
 
 
-class Evidence(dict):
-    """Rows of evidence by word; computes what is missing, and starts anew when full."""
+class Evidence:
+    """Rows of evidence by word, computed for the new words of many texts at once; it starts anew when full."""
 
     def __init__(self, model: Model):
-        super().__init__()
-        self.model, self.rows = model, np.zeros((1024, len(model.languages)), np.float32)
-
-    def __missing__(self, word: str) -> int:
-        n = len(self)
-        if n == len(self.rows):
+        self.model = model
+        self.clear()
+
+    def clear(self) -> None:
+        self.at: dict[str, int] = {}
+        self.rows = np.zeros((1024, len(self.model.languages)), np.float32)
+
+    def learn(self, words: set[str]) -> None:
+        if len(self.at) > REMEMBERED:
+            self.clear()
+        new = [w for w in words if w not in self.at]
+        n = len(self.at)
+        while n + len(new) > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[n] = self.model.evidence(word)
-        self[word] = n
-        return n
+        if new:
+            self.rows[n : n + len(new)] = self.model.evidence(new)
+            self.at.update(zip(new, range(n, n + len(new))))
 
 
-def predict_one(text: str | None, evidence: Evidence) -> tuple[str, float]:
+def predict_many(texts: list[str | None], evidence: Evidence) -> list[tuple[str, float]]:
     languages = evidence.model.languages
-    words = words_of(text or "")
-    if not languages or not any(c.isalpha() for w in words for c in w):
-        return "und", 0.0
-    if len(evidence) > REMEMBERED:
-        evidence.clear()
-    at = np.fromiter(map(evidence.__getitem__, words), np.int64, len(words))
-    score = evidence.rows[at].sum(axis=0, dtype=np.float64)
-    best = int(score.argmax())  # of equal ones, the first in alphabetical order
-    return languages[best], float(1 / np.exp(np.clip(score - score[best], -700, 0)).sum())
+    split = [words_of(t or "") for t in texts]
+    evidence.learn({w for words in split for w in words})
+    out = []
+    for words in split:
+        if not languages or not any(c.isalpha() for w in words for c in w):
+            out.append(("und", 0.0))
+            continue
+        at = np.fromiter(map(evidence.at.__getitem__, words), np.int64, len(words))
+        score = evidence.rows[at].sum(axis=0, dtype=np.float64)
+        best = int(score.argmax())  # of equal ones, the first in alphabetical order
+        out.append((languages[best], float(1 / np.exp(np.clip(score - score[best], -700, 0)).sum())))
+    return out
+
+
+def predict_one(text: str | None, evidence: Evidence) -> tuple[str, float]:
+    return predict_many([text], evidence)[0]
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -146,7 +183,8 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     def run(batches):
         evidence = known.setdefault("evidence", Evidence(sent.value))
         for batch in batches:
-            done = [predict_one(t, evidence) for t in batch.column(where).to_pylist()]
+            texts = batch.column(where).to_pylist()
+            done = [d for a, b in slices([t or "" for t in texts]) for d in predict_many(texts[a:b], evidence)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 
     fields = ", ".join(f"`{name}` {kind}" for name, kind in docs.dtypes)

@@ -2,7 +2,6 @@ import math
 import random
 import re
 from collections import Counter
-from types import SimpleNamespace
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -31,12 +30,9 @@ def test_held_out_accuracy(spark):
 
 
 def test_unseen_words_back_off():
-    table = lambda key, logs: SimpleNamespace(at={key: 0}, logs=np.array([logs], "f4"))
-    model = language.Model(["a", "b"], table("known", [0, -3]), {1: table("q", [-2, 0]), 2: table("\x02z", [-1, 0])})
-    assert model.evidence("known").tolist() == [0, -3]
-    assert model.evidence("zq").tolist() == [-1, 0]  # a known pair comes before a known letter
-    assert model.evidence("yq").tolist() == [-2, 0]
-    assert model.evidence("ü").tolist() == [0, 0]
+    model = language.Model(["a", "b"], {"known": 0}, np.array([[0, -3]], "f4"), {1: language.Table(["q", "k"], [[-2, 0], [0, -4]]), 2: language.Table(["\x02z"], [[-1, 0]])})
+    # a known word; a known pair comes before a known letter; a letter, the mean of two, nothing
+    assert model.evidence(["known", "zq", "yq", "kq", "ü"]).tolist() == [[0, -3], [-1, 0], [-2, 0], [-1, -2], [0, 0]]
     # a tie: the first language in alphabetical order
     assert language.predict_one("ü", language.Evidence(model)) == ("a", 0.5)
 
