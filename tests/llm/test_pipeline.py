@@ -5,7 +5,6 @@ import pytest
 P = pytest.importorskip("public_tokenizers")
 import tiktoken  # noqa: E402
 from test_lines import near  # noqa: E402
-from test_minhash import jaccard  # noqa: E402
 from test_positions import brute, items_of  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
@@ -25,13 +24,12 @@ def test_run_equals_brute_force(spark, docs, tmp_path):
     gone = {(d, p) for i, (d, p, x) in enumerate(places) if any(near(x, y) for _, _, y in places[:i])}
     rows = [(d, "\n".join(x for p, x in enumerate(t.split("\n")) if (d, p) not in gone)) for d, t in rows]
     prints = {d: simhash.fingerprint(t.encode(), 5) & (2**64 - 1) for d, t in rows}
-    for alike in (lambda a, b: bin(prints[a[0]] ^ prints[b[0]]).count("1") <= 2, lambda a, b: jaccard(a[1], b[1]) >= 0.8):
-        group = list(range(len(rows)))
-        links = [(i, j) for i in range(len(rows)) for j in range(i) if alike(rows[i], rows[j])]
-        for _ in rows:
-            for i, j in links:
-                group[i] = group[j] = min(group[i], group[j])
-        rows = [r for i, r in enumerate(rows) if group[i] == i]
+    group = list(range(len(rows)))
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if bin(prints[rows[i][0]] ^ prints[rows[j][0]]).count("1") <= 2]
+    for _ in rows:
+        for i, j in links:
+            group[i] = group[j] = min(group[i], group[j])
+    rows = [r for i, r in enumerate(rows) if group[i] == i]
     hits = brute(rows, items)
     rows = [r for r in rows if not hits[r[0]][1]]
     encoding = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
