@@ -10,18 +10,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import minhash, simhash
 from panelforge.llm.bpe import encode_documents
 from panelforge.llm.cluster import broadcast_few, through_table
 from panelforge.llm.language import fit, predict
 from panelforge.llm.lines import remove_lines
 from panelforge.llm.positions import contaminated
 from panelforge.llm.queries_b import tokenizer_path
+from panelforge.llm.simhash import keep_one
 
 #: A text is rejected if no language has this probability, or if it has no letter.
 LEAST_SCORE = 0.5
-#: Near-duplicates share this of their shingles of so many words.
-SHINGLE, JACCARD = 5, 0.8
+#: Words of a shingle of the near-duplicate stage.
+SHINGLE = 5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,13 +36,12 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates, on shingles of five words.
+    """Keeps one document of each SimHash component, on shingles of five words.
 
-    SimHash components go first. A Jaccard similarity of 0.8 moves about ten of 64 bits, which no segment variants can
-    index; so what SimHash leaves is compared by MinHash bands, with the Jaccard similarity verified. Null and empty texts
-    are alike; of an empty table nothing is kept.
+    Links are op 2's, at two bits of 64, so copies of a Jaccard similarity of 0.8 are mostly kept (there about ten bits
+    differ, which no segment variants can index). Null and empty texts are alike; of an empty table nothing is kept.
     """
-    return minhash.keep_one(simhash.keep_one(docs, shingle=SHINGLE), JACCARD)
+    return keep_one(docs, shingle=SHINGLE)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
