@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import oracle, queries_a, queries_b, queries_c
+from . import oracle, queries_a, queries_b, queries_c, queries_d
 
 QUERIES = {
     "op1_token_ids": queries_b.op1_token_ids,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_byte_bpe": queries_b.op8_byte_bpe,
     "op9_line_dedup": queries_c.op9_line_dedup,
     "op10_minhash": queries_c.op10_minhash,
+    "op11_periodic_runs": queries_d.op11_periodic_runs,
     "minhash_near_duplicates": queries_c.minhash_near_duplicates,
 }
 ORACLE: dict[str, str] = {"op3_decontamination": oracle.OP3, "op4_suffix_arrays": oracle.OP4}
