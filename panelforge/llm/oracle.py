@@ -31,3 +31,14 @@ u AS (SELECT x.r, string_agg(substr(hx, CAST(2 * a + 1 AS BIGINT), CAST(2 * (coa
 c AS (SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans FROM n GROUP BY 1)
 SELECT doc_id, CAST(len(hx) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, CASE WHEN n_spans IS NULL THEN hx ELSE '' END))) AS kept_sha256 FROM x LEFT JOIN c USING (r) LEFT JOIN u USING (r)
 """
+
+OP12 = """
+WITH e AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT a.id AS anchor_id, e.id, a.label = e.label AS same, CAST(list_sum([a.v[i] * e.v[i] FOR i IN range(1, len(a.v) + 1)]) AS BIGINT) AS score
+  FROM (SELECT * FROM e WHERE id % 100 = 0) a JOIN e ON a.id <> e.id),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, p.id AS positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.anchor_id = p.anchor_id AND NOT n.same AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score
+WINDOW w AS (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id) QUALIFY row_number() OVER w <= 5
+"""

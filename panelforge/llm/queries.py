@@ -16,6 +16,8 @@ QUERIES = {
     "op9_line_dedup": queries_c.op9_line_dedup,
     "op10_minhash": queries_c.op10_minhash,
     "op11_periodic_runs": queries_d.op11_periodic_runs,
+    "op12_hard_negatives": queries_d.op12_hard_negatives,
+    "op13_nearest": queries_d.op13_nearest,
     "minhash_near_duplicates": queries_c.minhash_near_duplicates,
 }
-ORACLE: dict[str, str] = {"op3_decontamination": oracle.OP3, "op4_suffix_arrays": oracle.OP4}
+ORACLE: dict[str, str] = {"op3_decontamination": oracle.OP3, "op4_suffix_arrays": oracle.OP4, "op12_hard_negatives": oracle.OP12}

@@ -36,3 +36,20 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_runs", (-F.col("b.start")).alias("start"), F.col("b.length").alias("length"), (-F.col("b.period")).alias("period"),
         F.expr("(1000 * b.length) div (-b.period)").alias("exponent_milli"), "runs_sha256", "collapsed_sha256",
     )
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose vec_id is divisible by 100 against all; a seventh of the labels is moved on first."""
+    from .negatives import hard_negatives
+
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    moved = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives(moved, F.col("id") % 100 == 0)
+
+
+def op13_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose vec_id is divisible by 20 against all; an index of random projections has no SQL."""
+    from .forest import build, nearest
+
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return nearest(build(rows), rows, F.col("id") % 20 == 0)
