@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .cluster import partitions, through_table
 from .vectors import NO_ID, against_all, finite, gathered, ids_of, matrices, own_rows
 
-#: Trees, bits of a string, rows of a shard, queries of a block.
-TREES, BITS, ROWS, QUERIES = 96, 32, 16384, 512
+#: Trees, bits of a string, most and least rows of a shard (but for the last), queries of a block.
+TREES, BITS, ROWS, FEW, QUERIES = 96, 32, 16384, 2048, 512
 #: Candidates that are wanted of a shard, repeats over trees included: this share of its rows, and so many of all rows.
 SHARE, LEAST = 0.5, 6000
 #: Values of projections at once.
@@ -173,7 +173,9 @@ def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 def build(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, trees: int = TREES) -> DataFrame:
     """The forest over all rows, as a table in the shared folder; for searches of k neighbours at most."""
     kept = usable(rows, id_col, vector_col)
-    return through_table(shards(own_rows(kept, -(-kept.count() // ROWS)), k, trees), "forest")
+    n = kept.count()
+    wanted = max(1, -(-n * 4 // (ROWS * 3)), min(partitions(rows), -(-n // FEW)))  # shuffle partitions may be far more than such shards
+    return through_table(shards(own_rows(kept, wanted).coalesce(wanted), k, trees), "forest")
 
 
 def nearest(index: DataFrame, rows: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, trees: int = TREES, share: float = SHARE, least: int = LEAST) -> DataFrame:
