@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .quantiles import matches
 from .running import running_sum
+from .tables import settled
 
 
 def log_target_refused(df: DataFrame, y: str) -> str | None:
@@ -104,5 +105,6 @@ def boosted_scores(rows: DataFrame, by: list[str], y: str, weak: list[Column], m
         out = out.withColumn("__h", w)
         gamma = line_search(out, by, "score", "__h", y, most).withColumnsRenamed({c: f"__g_{c}" for c in by})
         joined = out.join(F.broadcast(gamma), matches(by, "__g_")) if by else out.crossJoin(F.broadcast(gamma))  # a row for each group
-        out = joined.withColumn("score", F.col("score") + F.col("gamma") * F.col("__h")).select(*rows.columns, "score")
+        # written, so that a round's plan doesn't read those before it again
+        out = settled(joined.withColumn("score", F.col("score") + F.col("gamma") * F.col("__h")).select(*rows.columns, "score"), "boosted")
     return out
