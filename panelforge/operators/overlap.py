@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import settled
+
 #: Fixed value: the unit separator between cells.
 CELL = "\u001f"
 LEAST_DISTINCT, LEAST_LEVELS, LEAST_CELLS = 10, 3, 2
@@ -68,3 +70,85 @@ def best_match(report: DataFrame) -> DataFrame:
     held = report.withColumn("overlaps", overlaps(F.col("share"), F.lit(0), F.lit(0.0)))
     best = held.groupBy("candidate").agg(F.min(F.struct((~F.col("overlaps")).alias("apart"), (-F.col("share")).alias("less"), "reference", "shared", "share", "overlaps")).alias("b"))
     return best.select("candidate", "b.reference", "b.shared", "b.share", "b.overlaps")
+
+
+#: Bits of a filter of hashes, and how many of them stand for each hash. A filter is one row of BITS / 8 bytes.
+BITS, PROBES = 1 << 20, 4
+
+
+def probes(hashed: Column, bits: int) -> list[Column]:
+    return [F.pmod(F.xxhash64(hashed, F.lit(i)), F.lit(bits)) for i in range(PROBES)]
+
+
+def hash_filter(hashes: DataFrame, column: str, bits: int = BITS) -> DataFrame:
+    """One row with `words`, an array of bits / 64 numbers in which the bits of every hash are set: a Bloom filter.
+
+    Bits are set by an aggregate on each word; what is gathered is the filter itself, whatever the number of hashes.
+    """
+    spots = hashes.select(F.explode(F.array(*probes(F.col(column), bits))).alias("bit"))
+    words = spots.groupBy((F.expr("bit div 64")).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("bit") % 64).cast("int"))).alias("v"))
+    every = hashes.sparkSession.range(bits // 64).select(F.col("id").alias("word"), F.lit(0).cast("bigint").alias("v")).unionByName(words)
+    full = every.groupBy("word").agg(F.bit_or("v").alias("v"))
+    return full.agg(F.sort_array(F.collect_list(F.struct("word", "v"))).alias("w")).select(F.col("w.v").alias("words"))
+
+
+def may_be_in(rows: DataFrame, column: str, held: DataFrame, bits: int = BITS) -> DataFrame:
+    """The rows whose hash may be in the filter (of `bits` bits): all that are, and few that aren't; with no shuffle."""
+    words = held.withColumnRenamed("words", "__words")
+    met = F.lit(True)
+    for spot in probes(F.col(column), bits):
+        word = F.get("__words", F.floor(spot / 64).cast("int"))
+        met = met & (F.call_function("shiftrightunsigned", word, (spot % 64).cast("int")).bitwiseAND(F.lit(1).cast("bigint")) == 1)
+    return rows.join(F.broadcast(words), met, "left_semi")  # one row of bits / 8 bytes
+
+
+def table_hashes(tables: dict[str, tuple[DataFrame, list[str]]]) -> tuple[DataFrame, DataFrame]:
+    """(name, row_hash) and (name, column, fingerprint) of numeric tables, given as {name: (rows, columns)}.
+
+    A column's fingerprint is the number of its distinct values at five significant figures and the sum of 60-bit hashes
+    of each with its count: nothing is gathered, and order doesn't matter. Null and non-finite cells are left out.
+    """
+    rows = columns = None
+    for name, (df, names) in tables.items():
+        hashed = row_hashes(df, names).select(F.lit(name).alias("name"), "row_hash")
+        cells = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in names])).alias("c")).select("c.*")
+        counts = cells.where(F.col("x").isNotNull() & ~F.isnan("x") & (F.abs("x") < float("inf"))).groupBy("column", F.format_string("%.4e", "x").alias("v")).agg(F.count("*").alias("n"))
+        number = F.conv(F.substring(F.md5(F.concat_ws(":", "v", "n")), 1, 15), 16, 10).cast("decimal(38,0)")
+        prints = counts.groupBy("column").agg(F.concat_ws("-", F.count("*"), F.sum(number)).alias("fingerprint")).select(F.lit(name).alias("name"), "column", "fingerprint")
+        rows, columns = (hashed, prints) if rows is None else (rows.unionByName(hashed), columns.unionByName(prints))
+    return rows, columns
+
+
+def catalogue_report(candidates: dict[str, tuple[DataFrame, list[str]]], references: dict[str, tuple[DataFrame, list[str]]], bits: int = BITS) -> tuple[DataFrame, DataFrame]:
+    """What every candidate table shares with every reference table.
+
+    The first table has a row for each candidate: hashed (its distinct row hashes), best (the reference that it is most
+    likely from: overlapping ones first, then by share of rows, share of columns, name; null if none shares anything),
+    its row_share, column_share and shared_columns, and overlapping, the names of all references that overlap it. The
+    second has a row for each reference: hashed, and kept (rows that passed the filter, repeats included).
+
+    References are scanned once; a filter of all candidates' row hashes drops nearly all their rows before anything is
+    sent, and equality of hashes decides on the rest, so the filter's size changes no result.
+    """
+    mine, my_columns = table_hashes(candidates)
+    theirs, their_columns = table_hashes(references)
+    mine = settled(mine.distinct(), "candidate-hashes")
+    kept = settled(may_be_in(theirs, "row_hash", settled(hash_filter(mine.select("row_hash").distinct(), "row_hash", bits), "filter"), bits), "kept")
+    n = mine.groupBy(F.col("name").alias("candidate")).agg(F.count("*").alias("hashed"))
+    met = mine.select(F.col("name").alias("candidate"), "row_hash").join(kept.select(F.col("name").alias("reference"), "row_hash").distinct(), "row_hash")
+    by_row = met.groupBy("candidate", "reference").agg(F.count("*").alias("shared"))
+    width = my_columns.groupBy(F.col("name").alias("candidate")).agg(F.count("*").alias("width"))
+    same = my_columns.select(F.col("name").alias("candidate"), "column", "fingerprint").join(their_columns.select(F.col("name").alias("reference"), "fingerprint").distinct(), "fingerprint")
+    by_column = same.groupBy("candidate", "reference").agg(F.count_distinct("column").alias("shared_columns"))
+    pairs = by_row.join(by_column, ["candidate", "reference"], "full").join(n, "candidate", "left").join(width, "candidate")
+    scored = pairs.select(
+        "candidate", "reference", F.coalesce(F.try_divide(F.col("shared").cast("double"), F.col("hashed")), F.lit(0.0)).alias("row_share"),
+        F.coalesce(F.col("shared_columns") / F.col("width"), F.lit(0.0)).alias("column_share"), F.coalesce("shared_columns", F.lit(0)).cast("bigint").alias("shared_columns"),
+    ).withColumn("over", overlaps(F.col("row_share"), F.col("shared_columns"), F.col("column_share")))
+    first = F.min(F.struct((~F.col("over")).alias("apart"), (-F.col("row_share")).alias("r"), (-F.col("column_share")).alias("c"), "reference", "row_share", "column_share", "shared_columns"))
+    best = scored.groupBy("candidate").agg(first.alias("b"), F.array_sort(F.collect_list(F.when(F.col("over"), F.col("reference")))).alias("overlapping"))  # names of tables
+    names = mine.sparkSession.createDataFrame([(c,) for c in candidates], "candidate string")
+    report = names.join(n, "candidate", "left").join(best, "candidate", "left").select("candidate", F.coalesce("hashed", F.lit(0)).alias("hashed"), F.col("b.reference").alias("best"), "b.row_share", "b.column_share", "b.shared_columns", F.coalesce("overlapping", F.array().cast("array<string>")).alias("overlapping"))
+    totals = theirs.groupBy(F.col("name").alias("reference")).agg(F.count("*").alias("hashed"))
+    passed = totals.join(kept.groupBy(F.col("name").alias("reference")).agg(F.count("*").alias("kept")), "reference", "left").select("reference", "hashed", F.coalesce("kept", F.lit(0)).alias("kept"))
+    return report, passed

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.metrics import hanley_mcneil, holm
 from .bootstrap import poisson_weight
+from .quantiles import matches
 from .running import running_sum
 from .tables import settled
 
@@ -178,3 +179,37 @@ def recovered(importance: DataFrame, by: list[str], column: str, drop: str, true
     yes, gain = F.col(column).isin(true), F.greatest(F.col(drop), F.lit(0.0))
     got = ranked.groupBy(*by).agg(F.max(F.when(F.col("__r") == 1, F.col(column))).alias("top_col"), F.sum(F.when((F.col("__r") <= len(true)) & yes, 1).otherwise(0)).alias("__hit"), F.sum(F.when(yes, gain).otherwise(0.0)).alias("__yes"), F.sum(gain).alias("__all"))
     return got.select(*by, "top_col", F.col("top_col").isin(true).alias("top_hit"), (F.col("__hit") == len(true)).alias("exact"), F.try_divide("__yes", "__all").alias("true_share"))
+
+
+def many_differences(scores: DataFrame, by: list[str], group: str, y: str, names: list[str], pairs: list[tuple[str, str]], metric: str = "auc", draws: int = 200, least: int = 100, least_rows: int = 1) -> DataFrame:
+    """(by, a, b, diff, drawn, low, high, p, p_holm): AUC ("auc") or average precision ("ap") of score a less that of b for
+    all pairs of score columns, with one bootstrap over whole groups, and p-values adjusted as one family.
+
+    A group's weight in a draw is a Poisson(1) number made once for each (draw, group) and shared by all units (by),
+    scores and pairs. Rows are counted by (unit, group, score) first; the counts are sent once. A unit (by) with fewer
+    than least_rows rows, or one class only, is left out and doesn't count in the family; rows without y or any of the
+    scores take no part.
+    """
+    rows = scores.where(F.col(y).isNotNull())
+    for c in names:
+        rows = rows.where(F.col(c).isNotNull())
+    each = [F.struct(F.lit(c).alias("which"), F.col(c).cast("double").alias("p")) for c in names]
+    counted = settled(rows.select(*by, F.col(group).alias("__g"), F.col(y).cast("bigint").alias("__y"), F.explode(F.array(*each)).alias("s")).groupBy(*by, "__g", "s").agg(F.count("*").alias("n"), F.sum("__y").alias("pos")), "counted")
+    whole = counted.where(F.col("s.which") == names[0]).groupBy(*by).agg(F.sum("n").alias("__n"), F.sum("pos").alias("__pos"))
+    usable = whole.where((F.col("__n") >= least_rows) & (F.col("__pos") > 0) & (F.col("__pos") < F.col("__n"))).select(*[F.col(c).alias(f"__u_{c}") for c in by])
+    numbers = F.transform(F.sequence(F.lit(0), F.lit(draws)), lambda d: F.struct(d.alias("draw"), F.when(d == 0, 1).otherwise(poisson_weight(d, "__g")).alias("w")))
+    weights = counted.select("__g").distinct().select(F.col("__g").alias("__k"), F.filter(numbers, lambda x: x["w"] > 0).alias("__w"))
+    kept = counted.join(usable, matches(by, "__u_")) if by else counted.crossJoin(F.broadcast(usable))  # one row or none
+    drawn = kept.join(weights, F.col("__g").eqNullSafe(F.col("__k"))).select(*by, "s.which", "s.p", "n", "pos", F.explode("__w").alias("x"))
+    keys = [*by, "draw", "which"]
+    levels = settled(drawn.groupBy(*by, F.col("x.draw").alias("draw"), "which", "p").agg(F.sum(F.col("x.w") * F.col("n")).alias("n"), F.sum(F.col("x.w") * F.col("pos")).alias("pos")), "levels")
+    run = running_sum(levels, keys, "p", {"cum_n": "n", "cum_pos": "pos"}, descending=True, ranges=8)
+    neg, above = F.col("n") - F.col("pos"), (F.col("cum_n") - F.col("n")) - (F.col("cum_pos") - F.col("pos"))
+    total = run.groupBy(*keys).agg(F.sum("pos").alias("P"), F.sum(neg).alias("N"), F.sum(F.col("pos") * (above + neg / 2.0)).alias("lost"), F.sum(F.col("pos") * F.col("cum_pos") / F.col("cum_n")).alias("gain"))
+    value = 1 - F.col("lost") / (F.col("P") * F.col("N")).cast("double") if metric == "auc" else F.col("gain") / F.col("P")
+    scored = total.where((F.col("P") > 0) & (F.col("N") > 0)).withColumn("v", value).groupBy(*by, "draw").agg(*[F.max(F.when(F.col("which") == c, F.col("v"))).alias(f"__v_{c}") for c in names])
+    diffs = scored.select(*by, "draw", F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), (F.col(f"__v_{a}") - F.col(f"__v_{b}")).alias("diff")) for a, b in pairs])).alias("x")).select(*by, "draw", "x.*")
+    compared = interval(diffs, [*by, "a", "b"], least)
+    # the family has a row for each unit and pair; its order is that of p, then of the names
+    named = compared.withColumn("__family", F.lit(1)).withColumn("__row", F.concat_ws("|", *by, "a", "b"))
+    return family(named, ["__family"], "__row").drop("__family", "__row")
