@@ -91,3 +91,15 @@ def tuned_boosting(t, spark):
     model, _ = G.tuned_boosting(p.where("y < 1997"), p.where("y = 1997"), ["total", "n"], "label", configs, [2, 4], bins=16)
     scored = p.where("y > 1997").withColumn("p", 1 / (1 + F.exp(-model.raw())))
     return M.rank_metrics(scored, ["y"], "label", "p").select("y", "n", "positives", r6("auc").alias("auc"), r6("ap").alias("ap"))
+
+
+@query(None)
+def linear_readout(t, spark):
+    """Return flags from splines, plain columns and indicators, fitted on lines shipped before 1998 and scored on all: by flag
+    and period the rows, the mean probability of the flag, and the log-loss."""
+    from ..operators.readout import LinearReadout
+
+    rows = t("lineitem").select("l_returnflag", "l_linestatus", (F.unix_date(F.col("l_shipdate").cast("date")) / 365.0).alias("shipped"), "l_quantity", "l_discount", "l_linenumber", (F.year("l_shipdate") >= 1998).alias("later"))
+    model = LinearReadout("l_returnflag", ["shipped", "l_quantity", "l_discount"], ["l_linestatus", "l_linenumber"], most=2, floor=0.01).fit(rows.where("not later"))
+    p = F.element_at("probabilities", F.array_position(F.array(*[F.lit(c) for c in model.classes]), F.col("l_returnflag")).cast("int"))
+    return model.score(rows).groupBy("l_returnflag", "later").agg(F.count("*").alias("n"), F.round(F.avg(p), 5).alias("mean_p"), F.round(F.avg(-F.log(p)), 5).alias("log_loss"))

@@ -131,3 +131,73 @@ def test_boosting_keeps_the_better_half_and_its_loss_falls(spark):
     # the model's expression gives the scores that the loss was taken of
     z = [(r.z, r.y) for r in hold.where("y is not null").select(model.raw().alias("z"), "y").collect()]
     assert sum(math.log1p(math.exp(-abs(s))) + max(s, 0) - y * s for s, y in z) / len(z) == pytest.approx(kept["loss"], abs=1e-9)
+
+
+def dense_solve(z, y, classes, penalty):
+    """The same least sum by plain gradient steps with a line search, from another start, to a small gradient."""
+    z = np.column_stack([z, np.ones(len(z))])
+    k = 1 if classes == 2 else classes
+    c = np.full((k, z.shape[1]), 0.1)
+    ridge = np.ones_like(c) * penalty
+    ridge[:, -1] = 0
+
+    def value(c):
+        s = z @ c.T
+        if k == 1:
+            p = 1 / (1 + np.exp(-s[:, 0]))
+            return np.sum(np.logaddexp(0, s[:, 0]) - y * s[:, 0]) + 0.5 * (ridge * c * c).sum(), ((p - y) @ z)[None, :] + ridge * c
+        s = s - s.max(axis=1, keepdims=True)
+        p = np.exp(s) / np.exp(s).sum(axis=1, keepdims=True)
+        one = np.eye(k)[y]
+        return -np.sum(np.log(p[np.arange(len(y)), y])) + 0.5 * (ridge * c * c).sum(), (p - one).T @ z + ridge * c
+
+    step = 1e-3
+    f, g = value(c)
+    for _ in range(20000):
+        if np.abs(g).max() < 1e-7:
+            break
+        while True:
+            f2, g2 = value(c - step * g)
+            if f2 <= f - 0.4 * step * (g * g).sum():
+                break
+            step /= 2
+        c, f, g, step = c - step * g, f2, g2, step * 1.6
+    return c, f
+
+
+@pytest.mark.parametrize("classes", [2, 3])
+def test_coefficients_equal_a_dense_solve(spark, classes):
+    from panelforge.operators import readout
+
+    rng = np.random.default_rng(classes)
+    z = rng.standard_normal((300, 4))
+    y = np.argmax(z @ rng.standard_normal((4, classes)) + rng.gumbel(size=(300, classes)), axis=1)
+    rows = spark.createDataFrame([(v.tolist(), int(k)) for v, k in zip(z, y)], "z array<double>, y int").repartition(5)
+    got = readout.fit_multinomial(rows, 4, classes, 2.0)
+    want, _ = dense_solve(z, y, classes, 2.0)
+    assert got[:, :-1] == pytest.approx(want[:, :-1], abs=1e-5)
+    assert got[:, -1] - got[:, -1].mean() == pytest.approx(want[:, -1] - want[:, -1].mean(), abs=1e-5) if classes > 2 else got[:, -1] == pytest.approx(want[:, -1], abs=1e-5)
+
+
+def test_readout_blocks_and_missing_values(spark):
+    from panelforge.operators import readout
+
+    rng = random.Random(6)
+    rows = []
+    for i in range(600):
+        a = None if i % 11 == 0 else rng.uniform(-3, 3)
+        f = rng.choice(["u", "v", "w", None])
+        odds = -1 + (0 if a is None else 2 * math.cos(2 * a)) + (f == "v") * 2
+        rows.append((a, float(i % 2), f, rng.random(), None if i % 50 == 0 else rng.random() < 1 / (1 + math.exp(-odds))))
+    df = spark.createDataFrame(rows, "a double, b double, f string, p double, y boolean").repartition(3)
+    model = readout.LinearReadout("y", ["a", "b"], ["f"], ["p"], levels=2, penalty=0.1, floor=0.02).fit(df)
+    assert model.classes == [False, True] and list(model.splines) == ["a"] and model.coefficients.shape == (1, 6 + 1 + 2 + 2 + 1 + 1)
+    got = model.score(df).collect()
+    assert all(abs(sum(r.probabilities) - 1) < 1e-9 and min(r.probabilities) >= 0.01 - 1e-12 for r in got)
+    loss = [-math.log(r.probabilities[r.y]) for r in got if r.y is not None]
+    rate = sum(r.y for r in got if r.y is not None) / len(loss)
+    assert sum(loss) / len(loss) < -0.85 * (rate * math.log(rate) + (1 - rate) * math.log(1 - rate))
+    odd = model.score(spark.createDataFrame([(float("nan"), None, "new", None, None)], df.schema)).first()
+    assert abs(sum(odd.probabilities) - 1) < 1e-9
+    with pytest.raises(ValueError):
+        readout.LinearReadout("y", ["a"]).fit(df.where("y"))
