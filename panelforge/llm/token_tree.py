@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import sys
 
 import numpy as np
 import pandas as pd
@@ -12,12 +13,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import read_ranks
-from .pieces import PieceIds, slices, split
+from .pieces import LETTER, NUMBER, PieceIds, classes, slices, split
 
 #: Fixed value: how far beyond a match's end the pattern looks (an apostrophe is tried with two letters after it).
 LOOKAHEAD = 2
 
 
+@functools.cache
+def known(name: str, kind: int) -> str:
+    """A set of the regex package, less the code points that are too new for the tokenizer libraries."""
+    every = "".join(chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000)
+    new = [ord(c) for c in regex.findall(name, every) if classes()[ord(c)] != kind]
+    ends = np.flatnonzero(np.diff([-2, *new, sys.maxunicode + 9]) != 1)
+    spans = [f"\\U{new[a]:08x}-\\U{new[b - 1]:08x}" for a, b in zip(ends[:-1], ends[1:])]
+    return f"[{name}--[{''.join(spans)}]]" if spans else name
+
+
 class Counter:
     """Counts the tokens of pieces; pattern: as in public_tokenizers.PATTERN, with Unicode's white space."""
 
@@ -25,7 +36,9 @@ class Counter:
         import tiktoken
 
         self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=read_ranks(ranks_path), special_tokens={})
-        self.pattern = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
+        for name, kind in ((r"\p{L}", LETTER), (r"\p{N}", NUMBER)):
+            pattern = pattern.replace(name, known(name, kind))
+        self.pattern = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"), regex.V1)
         self.cache = PieceIds(lambda pieces: [[len(self.encoding.encode_ordinary(p))] for p in pieces])
 
     def count(self, piece: str) -> int:

@@ -33,6 +33,21 @@ def make_docs():
     return rows
 
 
+def new_points():
+    """Texts of each code point that Python's Unicode lacks or that regex has as a letter or number, and of every 11th other
+    one, between letters of several scripts and digits."""
+    import sys
+    import unicodedata
+
+    import regex
+
+    every = "".join(chr(c) for c in range(128, sys.maxunicode + 1) if not 0xD800 <= c < 0xE000)
+    odd = {c for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn"}
+    points = [c for i, c in enumerate(every) if c in odd or i % 11 == 0]
+    sides = ["\uac00\ub098", "\u4e00\u4eba", "ab", "12", " x"]
+    return [f"{sides[i % 5]}{c}{sides[(i // 5) % 5]}" for i, c in enumerate(points)]
+
+
 @pytest.fixture(scope="session")
 def docs(spark):
     return spark.createDataFrame(make_docs(), SCHEMA).repartition(5)

@@ -75,3 +75,16 @@ def test_null_ids_and_repeated_rows(spark, encoding):
     got = sorted((r.doc_id or -1, bytes(r.bytes).decode(), len(r.ids) // 4) for r in bpe.encode_documents(docs, PATH, decode=True).collect())
     n = len(encoding.encode_ordinary("some words"))
     assert got == [(-1, "", 0), (-1, "some words", n), (3, "some words", n), (3, "some words", n), (5, "", 0)]
+
+
+def test_ids_equal_the_library_on_all_of_unicode(encoding):
+    from conftest import new_points
+
+    texts = new_points()
+    ids, counts = bpe.encode_texts(texts, PATH)
+    at, wrong = 0, []
+    for t, c in zip(texts, counts.tolist()):
+        if ids[at : at + c].tolist() != encoding.encode_ordinary(t):
+            wrong.append(t)
+        at += c
+    assert len(texts) > 100_000 and not wrong

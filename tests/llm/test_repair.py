@@ -76,3 +76,14 @@ def test_nulls_repeats_and_no_rows(spark):
     got = sorted((r.start, r.doc_id, r.n_tokens) for r in repair.describe_file(spark, repair.write_ids(df, PATH)).collect())
     assert got == [(0, None, 3), (3, 1, 1), (4, 1, 1), (5, 2, 1)]
     assert repair.describe_file(spark, repair.write_ids(df.limit(0), PATH)).count() == 0
+
+
+def test_ids_equal_the_library_on_all_of_unicode():
+    from conftest import new_points
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    texts, tokenizer = new_points(), Tokenizer.from_file(path)
+    ids, counts = repair.library(path)[0].ids(texts)
+    parts = np.split(ids, np.cumsum(counts)[:-1])
+    assert [t for t, x, e in zip(texts, parts, tokenizer.encode_batch(texts, add_special_tokens=False)) if x.tolist() != e.ids] == []

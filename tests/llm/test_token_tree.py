@@ -55,3 +55,17 @@ def test_null_ids_and_repeated_rows(spark):
     assert got == [(-1, "More", False), (-1, "More words", True), (3, "More words", True), (3, "More words", True), (5, "More", False)]
     plain = token_tree.count_edited(docs.withColumn("edits", F.lit(None).cast(docs.schema["edits"].dataType)), PATH, P.PATTERN).collect()
     assert sorted((r.doc_id or -1, r.edited, r.n_encoded) for r in plain) == [(-1, "", 0), (-1, "some words", 0), (3, "some words", 0), (3, "some words", 0), (5, "", 0)]
+
+
+def test_the_pattern_of_edits_cuts_as_whole_texts_are_cut():
+    from conftest import new_points
+
+    from panelforge.llm import pieces
+
+    texts = new_points()
+    counter = token_tree.Counter(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    joined, _, starts, ends, counts = pieces.split(texts)
+    at = 0
+    for t, c in zip(texts, counts.tolist()):
+        assert counter.pattern.findall(t) == [joined[a:b] for a, b in zip(starts[at : at + c], ends[at : at + c])]
+        at += c
