@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators.quantiles import matches, quantiles
+from ..operators.quantiles import matches
 from ..operators.running import mid_ranks_of, row_ranks, running_sum
 from ..operators.tables import settled
 
@@ -24,7 +24,11 @@ def by_score(df: DataFrame, by: list[str], y: str, p: str) -> DataFrame:
 
 def rank_metrics(df: DataFrame, by: list[str], y: str = "y", p: str = "p") -> DataFrame:
     """(by, n, positives, auc, ap, best_f1, best_threshold)."""
-    s = by_score(df, by, y, p)
+    return ranks_of(by_score(df, by, y, p), by)
+
+
+def ranks_of(s: DataFrame, by: list[str]) -> DataFrame:
+    """rank_metrics of a table that by_score made."""
     above_neg = (F.col("cum_n") - F.col("n")) - (F.col("cum_pos") - F.col("pos"))
     neg = F.col("n") - F.col("pos")
     # pairs lost: a positive below a negative; half for ties
@@ -53,25 +57,48 @@ def calibration_error(df: DataFrame, by: list[str], y: str = "y", p: str = "p",
     return table.groupBy(*by).agg((F.sum(F.col("n") * F.abs(F.col("mean_p") - F.col("rate"))) / F.sum("n")).alias("ece"))
 
 
+def calibration_of(s: DataFrame, by: list[str], bins: int = 10) -> DataFrame:
+    """calibration_error of a table that by_score made."""
+    edge = " + ".join(f"IF(p >= {k}*{1 / bins:e}, 1, 0)" for k in range(1, bins))
+    table = s.groupBy(*by, F.expr(edge).alias("bin")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("p")).alias("sp"), F.sum("pos").alias("pos"))
+    return table.groupBy(*by).agg((F.sum(F.abs(F.col("sp") - F.col("pos"))) / F.sum("n")).alias("ece"))
+
+
+def moments_of(s: DataFrame, by: list[str]) -> DataFrame:
+    """(by, rate, mean_p, brier, brier_skill, log_loss, rmse, sd, p50, p99, ratio, near_constant) of a table that by_score
+    made: every figure is a sum over distinct scores, and quantiles are where the running counts pass their ranks."""
+    totals = s.groupBy(*[F.col(c).alias(f"__t_{c}") for c in by]).agg(F.sum("n").alias("__all"))
+    both = s.join(totals, matches(by, "__t_")) if by else s.crossJoin(F.broadcast(totals))  # one row
+    neg, below = F.col("n") - F.col("pos"), F.col("__all") - F.col("cum_n") + F.col("n")
+    safe = F.least(F.greatest(F.col("p"), F.lit(1e-15)), F.lit(1 - 1e-15))
+    mean = lambda x: F.sum(x) / F.sum("n")
+    at = lambda rank: F.min(F.when(below > rank, F.col("p")))
+    ends = {name: F.lit(q) * (F.col("__all") - 1) for name, q in (("p50", 0.5), ("p99", 0.99))}
+    out = both.groupBy(*by).agg(
+        mean(F.col("pos").cast("double")).alias("rate"), mean(F.col("n") * F.col("p")).alias("mean_p"), mean(F.col("pos") * (F.col("p") - 1) * (F.col("p") - 1) + neg * F.col("p") * F.col("p")).alias("brier"),
+        mean(-(F.col("pos") * F.log(safe) + neg * F.log(1 - safe))).alias("log_loss"), mean(F.col("n") * F.col("p") * F.col("p")).alias("__square"), (F.min("p") == F.max("p")).alias("__one"),
+        *[at(f(r)).alias(f"{name}_{k}") for name, r in ends.items() for k, f in (("l", F.floor), ("h", F.ceil))], *[F.max(r - F.floor(r)).alias(f"{name}_s") for name, r in ends.items()],
+    )
+    out = out.withColumns({name: F.col(f"{name}_l") + (F.col(f"{name}_h") - F.col(f"{name}_l")) * F.col(f"{name}_s") for name in ends})
+    out = out.withColumn("sd", F.when(F.col("__one"), 0.0).otherwise(F.sqrt(F.greatest(F.col("__square") - F.col("mean_p") * F.col("mean_p"), F.lit(0.0)))))
+    out = out.withColumns({"brier_skill": 1 - F.try_divide(F.col("brier"), F.col("rate") * (1 - F.col("rate"))), "rmse": F.sqrt("brier"), "ratio": F.when(F.col("p50") > 0, F.col("p99") / F.col("p50"))})
+    out = out.withColumn("near_constant", (F.col("sd") == 0) | F.coalesce(F.col("ratio") < 1.5, F.lit(False)))
+    return out.select(*by, "rate", "mean_p", "brier", "brier_skill", "log_loss", "rmse", "sd", "p50", "p99", "ratio", "near_constant")
+
+
 def moments(df: DataFrame, by: list[str], y: str = "y", p: str = "p") -> DataFrame:
     """(by, n, rate, mean_p, brier, brier_skill, log_loss, rmse, sd, p50, p99, ratio, near_constant)."""
-    safe = F.least(F.greatest(F.col(p), F.lit(1e-15)), F.lit(1 - 1e-15))
-    yes = F.col(y).cast("double")
-    rows = df.where(F.col(y).isNotNull() & F.col(p).isNotNull())
-    out = rows.groupBy(*by).agg(
-        F.count("*").alias("n"), F.avg(yes).alias("rate"), F.avg(p).alias("mean_p"), F.avg((F.col(p) - yes) * (F.col(p) - yes)).alias("brier"),
-        F.avg(-(yes * F.log(safe) + (1 - yes) * F.log(1 - safe))).alias("log_loss"), F.stddev_pop(p).alias("sd"),
-    )
-    levels = quantiles(rows, by, p, [0.5, 0.99]).select(*by, F.col("q")[0].alias("p50"), F.col("q")[1].alias("p99"))
-    out = out.join(levels, by) if by else out.crossJoin(levels)  # one row each
-    ratio = F.when(F.col("p50") > 0, F.col("p99") / F.col("p50"))
-    out = out.withColumns({"brier_skill": 1 - F.try_divide(F.col("brier"), F.col("rate") * (1 - F.col("rate"))), "rmse": F.sqrt("brier"), "ratio": ratio})
-    return out.withColumn("near_constant", (F.col("sd") == 0) | F.coalesce(F.col("ratio") < 1.5, F.lit(False)))
+    s = by_score(df, by, y, p)
+    n = s.groupBy(*[F.col(c).alias(f"__n_{c}") for c in by]).agg(F.sum("n").alias("n"))
+    got = moments_of(s, by)
+    return (got.join(n, matches(by, "__n_")) if by else got.crossJoin(F.broadcast(n))).select(*by, "n", *got.columns[len(by) :])  # one row where by is empty
 
 
 def scorecard(df: DataFrame, by: list[str], y: str = "y", p: str = "p") -> DataFrame:
-    """Rank metrics, calibration and spread in one row a group; degenerate: an AUC of at most 0.55."""
-    ranks, error, mean = rank_metrics(df, by, y, p), calibration_error(df, by, y, p), moments(df, by, y, p).drop("n")
+    """Rank metrics, calibration and spread in one row a group; degenerate: an AUC of at most 0.55. Rows are read once, to
+    be counted by score."""
+    s = by_score(df, by, y, p)
+    ranks, error, mean = ranks_of(s, by), calibration_of(s, by), moments_of(s, by)
     out = ranks.join(error, by).join(mean, by) if by else ranks.crossJoin(error).crossJoin(mean)  # one row each
     return out.withColumn("degenerate", F.col("auc") <= 0.55)
 

@@ -34,20 +34,27 @@ def first_event(events: DataFrame, key: str, time: str, name: str) -> DataFrame:
 
 
 def forward_label(rows: DataFrame, events: DataFrame, key: str, time: str, event_time: str, lag: str, horizon: str, name: str = "label") -> DataFrame:
-    """rows with `name`: 1 if the key has an event in (time + lag, time + lag + horizon], else 0.
+    """rows with `name`: 1 if the key has an event in (time + lag, time + lag + horizon], else 0 (also without a time).
 
-    Both sides go into one sorted window by key (a sort-merge over time), so there is no range join: after its row's lag,
-    the next event decides. Intervals are SQL literals such as '1 day'.
+    Time is cut into buckets a little longer than the horizon, so the interval ends in its own bucket or the next. Both
+    sides go into one sorted window by key and bucket: the next event in it decides, or else the first one of the next
+    bucket, of which there is one number for each key and bucket. So a key with most of the rows is spread over its
+    buckets, and there is no range join. Intervals are SQL literals such as '1 day'.
     """
-    keep = [c for c in rows.columns]
-    left = rows.select(F.struct(*keep).alias("row"), F.col(key).alias("k"), (F.col(time) + F.expr(f"INTERVAL {lag}")).alias("t"), F.lit(1).alias("side"))
+    base = "timestamp_ntz'2001-01-01 00:00:00'"  # months differ: a tenth more, and a day, is longer than any such span
+    width = F.expr(f"CAST(1.1 * (unix_micros(CAST({base} + INTERVAL {horizon} AS timestamp)) - unix_micros(CAST({base} AS timestamp))) AS bigint) + 86400000000L")
+    micros = lambda t: F.unix_micros(t.cast("timestamp"))
+    opens = F.col(time) + F.expr(f"INTERVAL {lag}")
+    left = rows.select(F.struct(*rows.columns).alias("row"), F.col(key).alias("k"), opens.alias("t"), F.lit(1).alias("side"))
     right = events.where(F.col(event_time).isNotNull()).select(F.lit(None).cast(left.schema["row"].dataType).alias("row"), F.col(key).alias("k"), F.col(event_time).alias("t"), F.lit(0).alias("side"))
+    both = left.unionByName(right).withColumn("b", F.floor(micros(F.col("t")) / width))
+    first = both.where("side = 0").groupBy(F.col("k").alias("__k"), (F.col("b") - 1).alias("__b")).agg(F.min("t").alias("__first"))
     # at equal times the event comes first, so it is not after the row
-    order = W.partitionBy("k").orderBy("t", "side")
+    order = W.partitionBy("k", "b").orderBy("t", "side")
     following = F.first(F.when(F.col("side") == 0, F.col("t")), ignorenulls=True).over(order.rowsBetween(1, W.unboundedFollowing))
-    both = left.unionByName(right).withColumn("next", following).where("side = 1")
-    hit = F.col("next").isNotNull() & (F.col("next") <= F.col("t") + F.expr(f"INTERVAL {horizon}"))
-    return both.select("row.*", hit.cast("bigint").alias(name))
+    met = both.withColumn("next", following).where("side = 1").join(first, F.col("k").eqNullSafe(F.col("__k")) & (F.col("b") == F.col("__b")), "left")
+    hit = F.coalesce("next", "__first") <= F.col("t") + F.expr(f"INTERVAL {horizon}")
+    return met.select("row.*", F.coalesce(hit, F.lit(False)).cast("bigint").alias(name))
 
 
 def exact_lag(df: DataFrame, key: str, period: str, columns: list[str], lag: int = 1) -> DataFrame:
@@ -93,14 +100,26 @@ def mismatches(a: DataFrame, b: DataFrame, keys: list[str], value: str, toleranc
     return joined.where(apart)
 
 
-def as_of(left: DataFrame, right: DataFrame, key: str, time: str, right_time: str, columns: list[str]) -> DataFrame:
-    """For each left row the last right row of its key at or before its time: one sort by key, no range join."""
-    keep = left.columns
-    a = left.select(F.struct(*keep).alias("row"), F.col(key).alias("k"), F.col(time).alias("t"), F.lit(1).alias("side"))
-    b = right.select(F.col(key).alias("k"), F.col(right_time).alias("t"), F.struct(F.col(right_time).alias("__t"), *columns).alias("found"))
-    both = a.unionByName(b.withColumn("side", F.lit(0)), allowMissingColumns=True)
-    last = F.last("found", ignorenulls=True).over(W.partitionBy("k").orderBy("t", "side", F.col("found")).rowsBetween(W.unboundedPreceding, 0))
-    return both.withColumn("found", last).where("side = 1").select("row.*", *[F.col(f"found.{c}").alias(c) for c in columns])
+def as_of(left: DataFrame, right: DataFrame, key: str, time: str, right_time: str, columns: list[str], bucket: str = "1 day") -> DataFrame:
+    """For each left row the last right row of its key at or before its time (of equal times the largest columns); nulls if
+    there is none, or no time. No range join, and no window over a whole key's rows.
+
+    Times are cut into buckets (a SQL interval of fixed length). A sorted window by key and bucket finds the last right
+    row of the bucket; where there is none, it is the last one of the buckets before, carried along the key's buckets,
+    of each of which there is one row.
+    """
+    width = F.expr(f"unix_micros(CAST(timestamp_ntz'2001-01-01 00:00:00' + INTERVAL {bucket} AS timestamp)) - unix_micros(CAST(timestamp_ntz'2001-01-01 00:00:00' AS timestamp))")
+    placed = lambda t: F.floor(F.unix_micros(t.cast("timestamp")) / width)
+    found = F.struct(F.col(right_time).alias("__t"), *columns).alias("found")
+    a = left.select(F.struct(*left.columns).alias("row"), F.col(key).alias("k"), F.col(time).alias("t"), F.lit(1).alias("side"), placed(F.col(time)).alias("b"))
+    r = right.where(F.col(right_time).isNotNull()).select(F.col(key).alias("k"), F.col(right_time).alias("t"), found, F.lit(0).alias("side"), placed(F.col(right_time)).alias("b"))
+    both = a.unionByName(r, allowMissingColumns=True)
+    by_bucket = both.groupBy("k", "b").agg(F.max("found").alias("found"))
+    before = F.last("found", ignorenulls=True).over(W.partitionBy("k").orderBy("b").rowsBetween(W.unboundedPreceding, -1))
+    carried = by_bucket.select(F.col("k").alias("__k"), F.col("b").alias("__b"), before.alias("carried"))
+    last = F.last("found", ignorenulls=True).over(W.partitionBy("k", "b").orderBy("t", "side", F.col("found")).rowsBetween(W.unboundedPreceding, 0))
+    met = both.withColumn("own", last).where("side = 1").join(carried, F.col("k").eqNullSafe(F.col("__k")) & (F.col("b") == F.col("__b")), "left")
+    return met.withColumn("found", F.coalesce("own", "carried")).select("row.*", *[F.col(f"found.{c}").alias(c) for c in columns])
 
 
 def dense_codes(df: DataFrame, column: str, name: str) -> DataFrame:

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .quantiles import quantiles
+from .tables import settled
 
-#: Query rows of one block: the side that is sent to all tasks.
-BLOCK = 5_000
+#: Rows of a block.
+BLOCK = 2_000
+#: Blocks of queries that are sent to every task at most; a block is BLOCK vectors.
+BROADCAST_BLOCKS = 32
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -32,31 +38,62 @@ def scaled(rows: DataFrame, stats: DataFrame, vector: str) -> DataFrame:
     return joined.withColumn(vector, z).drop("centre", "scale")
 
 
+def packed(rows: DataFrame, block: int, names: dict[str, str], vector: str) -> DataFrame:
+    """(block, names..., v): rows in blocks of about `block`, each column of a block as one array, vectors end to end."""
+    blocks = max(1, -(-rows.count() // block))
+    key = next(iter(names))
+    all_of = F.collect_list(F.struct(*[F.col(c).alias(n) for c, n in names.items()], F.col(vector).alias("v"))).alias("all")
+    got = rows.groupBy(F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block")).agg(all_of)
+    return got.select("block", *[F.col(f"all.{n}").alias(n) for n in names.values()], F.flatten("all.v").alias("v"))
+
+
 def nearest(context: DataFrame, queries: DataFrame, vector: str, row: str, query: str, label: str, k: int, per_class: dict | None = None, but_self: bool = False) -> DataFrame:
     """(query, row, label, distance, rank): the k nearest context rows of each query (equal ones by row id), or k by class.
 
-    The queries go over the context in blocks of about BLOCK rows, sent to every task. Where k is a number, the window's
-    group limit keeps k rows of each query in each task, so what is shuffled is not all pairs. but_self leaves out the
-    context row whose id is the query's.
+    Both sides are packed into blocks of about BLOCK rows (vectors must be of one length, without nulls); each pair of
+    blocks is one row of a join, and gives the k nearest of each query within it, by differences and not by products, so
+    that equal vectors are equally near. Blocks of queries are broadcast while they are at most BROADCAST_BLOCKS; more of
+    them are sent by slices of the context. but_self leaves out the context row whose id is the query's.
     """
-    parts = []
-    q = queries.select(F.col(query), F.col(vector).alias("__qv"))
-    n = queries.count()
-    blocks = max(1, -(-n // BLOCK))
-    for b in range(blocks):
-        some = q if blocks == 1 else q.where(F.pmod(F.xxhash64(query), F.lit(blocks)) == b)
-        pairs = context.join(F.broadcast(some)).select(query, F.col(row), F.col(label), distance(F.col(vector), F.col("__qv")).alias("distance"))
-        pairs = pairs.where(F.col(query) != F.col(row)) if but_self else pairs
-        keys = [query] + ([label] if per_class else [])
-        limit = F.element_at(F.create_map(*[F.lit(x) for kv in per_class.items() for x in kv]), F.col(label)) if per_class else F.lit(k)
-        # window group limit keeps k rows a key before the shuffle
-        ranked = pairs.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy("distance", row)).cast("bigint"))
-        most = max(per_class.values()) if per_class else k
-        parts.append(ranked.where((F.col("rank") <= most) & (F.col("rank") <= limit)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    kinds = dict(context.dtypes) | {query: dict(queries.dtypes)[query]}
+    left = settled(packed(context, BLOCK, {row: "rows", label: "labels"}, vector), "context-blocks")
+    right = settled(packed(queries, BLOCK, {query: "queries"}, vector).withColumnRenamed("v", "qv").withColumnRenamed("block", "qblock"), "query-blocks")
+    few = right.count() <= BROADCAST_BLOCKS
+    slices = 1 if few else int(context.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sliced = right.withColumn("slice", F.explode(F.expr(f"sequence(0L, {slices - 1}L)")))
+    pairs = left.withColumn("slice", F.pmod("block", F.lit(slices).cast("long"))).join(F.broadcast(sliced) if few else sliced, "slice")
+    most = per_class or {None: k}
+
+    def closest(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                rows, labels, asked = (batch.column(c)[i].values for c in ("rows", "labels", "queries"))
+                x, q = (batch.column(c)[i].values.to_numpy(zero_copy_only=False).reshape(n, -1) for c, n in (("v", len(rows)), ("qv", len(asked))))
+                names, order = np.array(labels.to_pylist(), dtype=object), np.argsort(np.argsort(np.array(rows.to_pylist())))
+                members = [(np.arange(len(rows)) if c is None else np.flatnonzero(names == c), n) for c, n in most.items()]
+                same = pc.index_in(asked, value_set=rows).to_numpy(zero_copy_only=False) if but_self else None
+                at, of, far = [], [], []
+                for j in range(len(asked)):
+                    d = np.sqrt(((x - q[j]) ** 2).sum(axis=1))
+                    if but_self and same[j] == same[j]:
+                        d[int(same[j])] = np.inf
+                    for mine, n in members:
+                        if n and len(mine):
+                            near = mine[d[mine] <= np.partition(d[mine], min(n, len(mine)) - 1)[min(n, len(mine)) - 1]]
+                            near = near[np.lexsort((order[near], d[near]))][:n]
+                            near = near[d[near] < np.inf]
+                            at.append(near)
+                            of.append(np.full(len(near), j))
+                            far.append(d[near])
+                if at:
+                    at, of = np.concatenate(at), np.concatenate(of)
+                    yield pa.RecordBatch.from_arrays([asked.take(pa.array(of)), rows.take(pa.array(at)), labels.take(pa.array(at)), pa.array(np.concatenate(far))], [query, row, label, "distance"])
+
+    found = pairs.mapInArrow(closest, f"`{query}` {kinds[query]}, `{row}` {kinds[row]}, `{label}` {kinds[label]}, distance double")
+    keys = [query] + ([label] if per_class else [])
+    limit = F.element_at(F.create_map(*[F.lit(x) for kv in per_class.items() for x in kv]), F.col(label)) if per_class else F.lit(k)
+    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy("distance", row)).cast("bigint"))
+    return ranked.where((F.col("rank") <= max(most.values())) & (F.col("rank") <= limit))
 
 
 def with_floor(near: DataFrame, positives: DataFrame, query: str, row: str, label: str, k: int, floor: int) -> DataFrame:

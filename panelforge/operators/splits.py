@@ -18,10 +18,10 @@ MOST_CLASSES = 10_000
 def out_of_time(panel: DataFrame, entity: str, time: str, embargo: float = 0.0, cuts: tuple[float, ...] = CUTS) -> DataFrame:
     """Adds split and part: for each cut at a quantile of time, test rows lie in [cut, next cut) (the last window is open),
     train rows before cut - embargo, less the entities of the test rows. A row appears once for each split it is part of."""
-    edges = quantiles(panel, [], time, list(cuts), "e")  # one row
-    n = len(cuts)
-    window = F.array(*[F.struct(F.lit(i).cast("bigint").alias("split"), F.col("e")[i].alias("start"), (F.col("e")[i + 1] if i + 1 < n else F.lit(float("inf"))).alias("stop")) for i in range(n)])
-    placed = panel.crossJoin(F.broadcast(edges.select(F.explode(window).alias("w")))).select(*panel.columns, "w.*")  # a row for each cut
+    found = quantiles(panel, [], time, list(cuts), "e").first()  # one row; none for an empty panel
+    edges = [*(found.e if found else [None] * len(cuts)), float("inf")]
+    window = F.array(*[F.struct(F.lit(i).cast("bigint").alias("split"), F.lit(a).cast("double").alias("start"), F.lit(b).cast("double").alias("stop")) for i, (a, b) in enumerate(zip(edges, edges[1:]))])
+    placed = panel.withColumn("__w", F.explode(window)).select(*panel.columns, "__w.*")  # a row for each cut
     part = F.when((F.col(time) >= F.col("start")) & (F.col(time) < F.col("stop")), "test").when(F.col(time) < F.col("start") - embargo, "train")
     placed = placed.withColumn("part", part).where("part is not null").drop("start", "stop")
     seen = placed.where("part = 'test'").select(entity, "split").distinct()

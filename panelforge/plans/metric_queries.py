@@ -10,6 +10,7 @@ from ..functions import scalars as S
 from ..operators import comparison as Q
 from ..operators import retrieval as N
 from ..operators.quantiles import quantiles
+from ..operators.tables import settled
 from .registry import big, h, query, r6
 
 SC = f"SELECT o_orderkey AS _row_id, o_custkey, o_orderpriority AS g, CAST(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS BIGINT) AS y, round({h('o_orderkey')} / 4294967296e0, 2) AS p FROM orders"
@@ -162,7 +163,7 @@ PAIRS = f"SELECT q.vec_id AS q, x.vec_id AS r, x.y, round(list_distance(q.z, x.z
 
 def vectors(t):
     v = t("embeddings").select("vec_id", (F.col("label") == 3).cast("int").alias("y"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    z = N.scaled(v, N.distance_stats(v, "v", 64), "v")
+    z = settled(N.scaled(v, N.distance_stats(v, "v", 64), "v"), "scaled")
     return z, z.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), "v")
 
 

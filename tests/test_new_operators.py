@@ -135,3 +135,29 @@ def test_overlap_rule(spark):
     rows = [(0.5, 0, 0.0), (0.49, 3, 0.5), (0.49, 2, 1.0), (0.1, 9, 0.4)]
     got = [r.v for r in spark.createDataFrame(rows, "r double, c int, s double").select(overlap.overlaps(F.col("r"), F.col("c"), F.col("s")).alias("v")).collect()]
     assert got == [True, True, False, False]
+
+
+def test_forward_labels_and_as_of_of_a_hot_key(spark):
+    """One key has most rows; times on bucket edges, ties, nulls of keys and times, months that differ in length."""
+    import datetime
+    import random
+
+    from panelforge.operators import relational
+
+    rng = random.Random(8)
+    start = datetime.datetime(2020, 1, 30)
+    when = lambda: None if rng.random() < 0.03 else start + datetime.timedelta(hours=rng.randrange(0, 24 * 120, 6))
+    key = lambda: rng.choice(["hot"] * 8 + ["a", None])
+    rows, events = [(i, key(), when()) for i in range(300)], [(key(), when(), rng.randrange(5)) for _ in range(60)]
+    left = spark.createDataFrame(rows, "i long, k string, t timestamp_ntz").repartition(3)
+    right = spark.createDataFrame(events, "k string, e timestamp_ntz, v int")
+    got = {r.i: r.label for r in relational.forward_label(left, right, "k", "t", "e", "2 days", "5 days").collect()}
+    day = datetime.timedelta(days=1)
+    assert got == {i: int(any(t and e and k == x and t + 2 * day < e <= t + 7 * day for x, e, _ in events)) for i, k, t in rows}
+    found = {r.i: r.v for r in relational.as_of(left, right, "k", "t", "e", ["v"]).collect()}
+    for i, k, t in rows:
+        able = [(e, v) for x, e, v in events if x == k and e and t and e <= t]
+        assert found[i] == (max(able)[1] if able else None)
+    month = {r.i: r.label for r in relational.forward_label(left.where("t is not null"), right, "k", "t", "e", "0 days", "1 month").collect()}
+    ends = {r.i: r.z for r in left.where("t is not null").selectExpr("i", "t + INTERVAL 1 MONTH AS z").collect()}
+    assert month == {i: int(any(e and k == x and t < e <= ends[i] for x, e, _ in events)) for i, k, t in rows if t}
