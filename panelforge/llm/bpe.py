@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pieces import PieceIds, slices
+from .text import release
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -157,6 +158,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches):
+        release()
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in slices(texts):

@@ -31,11 +31,16 @@ WHITE_SPACE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x
 def joined_by_library(first: str, points: list[int]) -> np.ndarray:
     """Whether tiktoken's reading of \\p{L} (first is a letter) or \\p{N} (a digit) has each code point: then the two make
     one piece, in which the first character and the first byte of the other are merged."""
+    encoding = probe(first)
+    return np.array([encoding.encode_ordinary(first + chr(p))[0] > 255 for p in points], dtype=bool)
+
+
+@functools.lru_cache(maxsize=2)
+def probe(first: str):
     import tiktoken
 
     merges = {bytes([b]): b for b in range(256)} | {first.encode() + bytes([b]): 128 + b for b in range(128, 256)}
-    encoding = tiktoken.Encoding("probe", pat_str=r"\p{L}+|\p{N}+|[^\p{L}\p{N}]", mergeable_ranks=merges, special_tokens={})
-    return np.array([encoding.encode_ordinary(first + chr(p))[0] > 255 for p in points], dtype=bool)
+    return tiktoken.Encoding("probe", pat_str=r"\p{L}+|\p{N}+|[^\p{L}\p{N}]", mergeable_ranks=merges, special_tokens={})
 
 
 @functools.cache
@@ -45,13 +50,15 @@ def classes() -> np.ndarray:
     Their Unicode is newer than Python's, and older than the regex package's: code points that Python lacks and regex has
     as letters or numbers are put to the library.
     """
-    table = np.zeros(sys.maxunicode + 1, dtype=np.uint8)
-    kinds = np.array([unicodedata.category(chr(c)) for c in range(sys.maxunicode + 1)])
-    every = "".join(map(chr, np.flatnonzero(kinds == "Cn").tolist()))
-    for what, first, kind in (("L", "a", LETTER), ("N", "1", NUMBER)):
-        table[np.char.startswith(kinds, what)] = kind
-        points = [ord(c) for c in regex.findall(rf"\p{{{what}}}", every)]
-        table[np.array(points, dtype=np.int64)[joined_by_library(first, points)]] = kind
+    table, block = np.zeros(sys.maxunicode + 1, dtype=np.uint8), 1 << 14
+    for at in range(0, len(table), block):
+        kinds = [unicodedata.category(chr(c)) for c in range(at, at + block)]
+        every = "".join(chr(at + i) for i, k in enumerate(kinds) if k == "Cn")
+        for what, first, kind in (("L", "a", LETTER), ("N", "1", NUMBER)):
+            table[[at + i for i, k in enumerate(kinds) if k[0] == what]] = kind
+            points = [ord(c) for c in regex.findall(rf"\p{{{what}}}", every)]
+            if points:
+                table[np.array(points)[joined_by_library(first, points)]] = kind
     table[WHITE_SPACE] = WHITE
     table[ord(GAP)] = END
     return table

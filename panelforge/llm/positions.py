@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cluster import write_table
-from .text import ALNUM, LOWER, encoded, hash_spans, join_texts, words
+from .text import ALNUM, LOWER, encoded, hash_spans, join_texts, release, words
 
 WINDOW = 10
 #: Bytes of text of a shard before it is closed; a longer document has a shard of its own.
@@ -50,6 +50,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches):
+        release()
         press = zstandard.ZstdCompressor(level=1)
         ids, texts, size = [], [], 0
 
@@ -254,6 +255,7 @@ def ask(spark, index: DataFrame, queries: Queries) -> DataFrame:
     names = ["shard", "row", "place", "doc_id", "n_words", "spans", "items"]
 
     def run(batches):
+        release()
         for batch in batches:
             for file, row, *held in zip(*(batch.column(i).to_pylist() for i in range(7))):
                 shard = Shard(*held)

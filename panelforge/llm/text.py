@@ -2,11 +2,24 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 import numpy as np
+import pyarrow as pa
 
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
+def release() -> None:
+    """Gives memory that earlier tasks of this worker have freed back to the system, at the start of a task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def splitmix(x: np.ndarray) -> np.ndarray:
     """The 64-bit finaliser of SplitMix64, element by element."""
     x = (np.asarray(x, dtype=np.uint64) + np.uint64(0x9E3779B97F4A7C15))
