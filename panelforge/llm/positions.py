@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cluster import write_table
-from .text import ALNUM, LOWER, encoded, hash_spans, join_texts, release, words
+from .text import ALNUM, LOWER, encoded, hash_spans, join_texts, parts, release, words
 
 WINDOW = 10
 #: Bytes of text of a shard before it is closed; a longer document has a shard of its own.
@@ -64,7 +64,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             row = [[list(ids)], [begin.tolist()], [press.compress(terms.astype("<u8").tobytes())], [press.compress(counts.astype("<u4").tobytes())], [press.compress(planes)]]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, [pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()])], ["doc_ids", "starts", "terms", "counts", "postings"])
 
-        for batch in batches:
+        for batch in (part for batch in batches for part in parts(batch)):
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if size and size + len(t or "") > SHARD_BYTES:
                     yield close()

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cluster import connected_components, keep_first, partitions, through_table
-from .text import release
+from .text import parts, release
 
 #: A bucket of more fingerprints than this is linked by two-wildcard keys, which is exact and linear, not by pairs.
 BUCKET = 1024
@@ -39,7 +39,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches):
         release()
-        for batch in batches:
+        for batch in (part for batch in batches for part in parts(batch)):
             fps = [fingerprint(b"" if t is None else t.encode(), shingle) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], ["doc_id", "th", "fp"])
 

@@ -20,6 +20,12 @@ def release() -> None:
         trim(0)
 
 
+def parts(batch: pa.RecordBatch, rows: int = 256):
+    """The batch in pieces, so that few of its texts are Python objects at a time."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def splitmix(x: np.ndarray) -> np.ndarray:
     """The 64-bit finaliser of SplitMix64, element by element."""
     x = (np.asarray(x, dtype=np.uint64) + np.uint64(0x9E3779B97F4A7C15))
@@ -71,20 +77,23 @@ def words(data: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return change[::2], change[1::2]
 
 
-def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes; spans are in order, apart or adjacent, and not empty."""
-    if not len(starts):
-        return np.zeros(0, dtype=np.uint64)
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int = 1 << 19) -> np.ndarray:
+    """A 64-bit hash of each span of bytes; spans are in order, apart or adjacent, and not empty. About `most` bytes are
+    worked on at a time, as each takes some forty bytes of memory."""
     sizes = ends - starts
-    total = int(sizes.sum())
-    first = np.zeros(len(starts), dtype=np.int64)
-    np.cumsum(sizes[:-1], out=first[1:])
-    place = np.arange(total, dtype=np.int64)
-    place -= np.repeat(first, sizes)
-    at = place + np.repeat(starts, sizes)
-    mixed = _BYTE[data[at]]
-    mixed *= places(int(sizes.max()))[place]
-    return splitmix(np.add.reduceat(mixed, first) ^ sizes.astype(np.uint64))
+    out = np.empty(len(starts), dtype=np.uint64)
+    turns = np.flatnonzero(np.diff(np.cumsum(sizes) // most)) + 1
+    for a, b in zip([0, *turns.tolist()], [*turns.tolist(), len(starts)]):
+        some = sizes[a:b]
+        if not len(some):
+            continue
+        first = np.cumsum(some) - some
+        place = np.arange(int(some.sum()), dtype=np.int64)
+        place -= np.repeat(first, some)
+        mixed = _BYTE[data[place + np.repeat(starts[a:b], some)]]
+        mixed *= places(int(some.max()))[place]
+        out[a:b] = splitmix(np.add.reduceat(mixed, first) ^ some.astype(np.uint64))
+    return out
 
 
 def encoded(texts) -> list[bytes]:
