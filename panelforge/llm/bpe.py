@@ -11,7 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pieces import PieceIds, slices
-from .text import release
+from .text import parts, release
+
+#: Characters that are encoded at a time: each takes some sixty bytes of memory.
+SLICE = 1 << 18
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -159,9 +162,9 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
     def run(batches):
         release()
-        for batch in batches:
+        for batch in (part for batch in batches for part in parts(batch)):
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in slices(texts):
+            for a, b in slices(texts, SLICE):
                 ids, counts = encode_texts(texts[a:b], path)
                 ends = np.cumsum(counts)
                 columns = [batch.column(0).slice(a, b - a), pa.array(cut(ids.astype("<u4"), ends), pa.binary())]

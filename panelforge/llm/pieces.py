@@ -81,7 +81,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """At least n powers of BASE, and of INVERSE."""
     global _powers
     if n > len(_powers[0]):
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 18)
         made = []
         for b in (BASE, INVERSE):
             out = np.full(size, b, np.uint64)
