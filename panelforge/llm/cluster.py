@@ -45,6 +45,14 @@ def partitions(df: DataFrame, wanted: int | None = None) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), wanted or 1)
 
 
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Has the session send at most `rows` rows a time to Python: 10,000 whole texts are some 30 MB, several times over in
+    the executor and its worker. A smaller setting of the session's own stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def broadcast_few(table: DataFrame, most: int = 2_000_000) -> DataFrame:
     """The table, to be broadcast if it has at most `most` rows."""
     return F.broadcast(table) if table.count() <= most else table

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .cluster import through_table
 from .pieces import slices
+from .text import release
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Documents that a model is fitted on, at most, in expectation: a sample by a hash of their ids and texts. It bounds the
@@ -20,6 +21,8 @@ FIT_DOCUMENTS = 20_000
 LONGEST, LEAST = 5, 3
 #: Words of which one worker remembers the evidence.
 REMEMBERED = 200_000
+#: Keys that a task counts before it sends the counts on.
+COUNTED = 100_000
 
 
 def words_of(text: str) -> list[str]:
@@ -91,24 +94,33 @@ def fit(docs: DataFrame, fit_documents: int = FIT_DOCUMENTS, id_col: str = "doc_
     if n > fit_documents:
         rows = rows.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text"), F.lit(1 << 40)) < int(fit_documents / n * (1 << 40)))
 
+    def told(found: Counter, names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+        columns = list(zip(*((*k, c) for k, c in found.items()))) or [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
+
     def count(batches):
+        found: Counter = Counter()
         for batch in batches:
-            found: dict[str, Counter] = {}
             for text, lang in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                found.setdefault(lang, Counter()).update(words_of(text))
-            flat = [(lang, w, c) for lang, by in found.items() for w, c in by.items()]
-            columns = list(zip(*flat)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64())], ["lang", "word", "n"])
+                for word, c in Counter(words_of(text)).items():
+                    found[lang, word] += c
+                if len(found) > COUNTED:
+                    yield told(found, ["lang", "word", "n"], [pa.string(), pa.string(), pa.int64()])
+                    found.clear()
+        yield told(found, ["lang", "word", "n"], [pa.string(), pa.string(), pa.int64()])
 
     def spread(batches):
+        found: Counter = Counter()
+        kinds = [pa.string(), pa.int32(), pa.string(), pa.int64()]
         for batch in batches:
-            found: Counter = Counter()
             for lang, word, c in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 for size in range(1, LONGEST + 1):
                     for g in grams_of(word, size):
                         found[lang, size, g] += c
-            columns = list(zip(*((*k, c) for k, c in found.items()))) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.string(), pa.int32(), pa.string(), pa.int64()])], ["lang", "size", "gram", "n"])
+            if len(found) > COUNTED:
+                yield told(found, ["lang", "size", "gram", "n"], kinds)
+                found.clear()
+        yield told(found, ["lang", "size", "gram", "n"], kinds)
 
     words = through_table(rows.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "language-words")
     languages = sorted(r.lang for r in words.select("lang").distinct().collect())
@@ -186,6 +198,9 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             texts = batch.column(where).to_pylist()
             done = [d for a, b in slices([t or "" for t in texts]) for d in predict_many(texts[a:b], evidence)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+        known.clear()
+        del evidence
+        release()  # the worker may stand idle through what follows
 
     fields = ", ".join(f"`{name}` {kind}" for name, kind in docs.dtypes)
     return docs.mapInArrow(run, f"{fields}, lang_pred string, score double")
