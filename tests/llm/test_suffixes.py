@@ -63,3 +63,23 @@ def test_nulls_repeats_and_no_rows(spark):
     got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in suffixes.removed(suffixes.repeated_spans(docs)).collect()]
     assert sorted(got, key=key) == sorted(brute(rows), key=key)
     assert suffixes.repeated_spans(docs.limit(0)).count() == 0
+
+
+def test_exchanges_stay_small(spark):
+    """What is sent of texts without repeats: three times the slices, and the hashes of anchors."""
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choice("aeioustrnlmdp") for _ in range(rng.randrange(2, 11))) for _ in range(4000)]
+    rows = [(7919 * i, " ".join(rng.choice(vocabulary) for _ in range(300))) for i in range(500)]
+    slices = suffixes.cut_slices(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), "doc_id", "text")
+    size = sum(len(t) for _, t in rows)
+    cut = sum(len(r["data"]) for r in slices.collect())
+    sent = sum(len(r["packed"]) for r in slices.mapInArrow(suffixes.send_anchors(1, 50), "bucket long, slice long, packed binary").collect())
+    assert 3 * cut + sent < 1.33 * size
+
+
+def test_one_id_in_many_slices_removes_nothing(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "SLICE_BYTES", 300)
+    t = "a passage that is long enough to be found, by more than fifty bytes. " * 3
+    rows = [(4, t + str(i)) for i in range(6)] + [(6, t), (None, t), (None, t)]
+    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in suffixes.removed(suffixes.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"))).collect()]
+    assert sorted(got, key=str) == sorted(brute(rows), key=str)
