@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,11 +14,51 @@ CELL = "\u001f"
 LEAST_DISTINCT, LEAST_LEVELS, LEAST_CELLS = 10, 3, 2
 
 
+#: Powers of ten from 0 on as two numbers each that add up to them: the nearest one, and what that lacks.
+POWERS = [float(10**k) for k in range(281)]
+LACKING = [float(Fraction(10**k) - Fraction(p)) for k, p in enumerate(POWERS)]
+
+
+def _product_error(x: Column, y: Column) -> Column:
+    """What the rounded product x * y lacks, exactly."""
+    high = lambda v: 134217729.0 * v - (134217729.0 * v - v)
+    xh, yh = high(x), high(y)
+    xl, yl = x - xh, y - yh
+    return ((xh * yh - x * y) + xh * yl + xl * yh) + xl * yl
+
+
+def _below_tie(a: Column, six: Column, k: Column) -> Column:
+    """Whether a is less than six / 10^k, or equal to it after an even figure; by exact products."""
+    of = lambda numbers: F.get(F.split(F.lit(" ".join(map(repr, numbers))), " ").cast("array<double>"), F.abs(k))
+    ten, rest = of(POWERS), of(LACKING)
+    over = F.when(k >= 0, (a * ten - six) + (_product_error(a, ten) + a * rest)).otherwise((a - six * ten) - (_product_error(six, ten) + six * rest))
+    return (over < 0) | ((over == 0) & (F.floor(six / 10) % 2 == 0))
+
+
+def five_figures(x: Column) -> Column:
+    """A number's text at five significant figures as C and SQL print it (%.4e): its exact binary value is rounded, and of two
+    texts equally near it has the even one. Exact for 0 and absolute values from 1e-270 to 1e270.
+
+    Java's formatter rounds the shortest decimal text of a number, halves away from 0. It differs only for numbers whose
+    six figures end in 5: of those, the ones that are less than that tie, or equal to it after an even figure, go down.
+    """
+    a = F.abs(x)
+    k = 5 - F.floor(F.log10(a))  # a * 10^k has six places
+    scaled = a * F.pow(F.lit(10.0), k.cast("double"))
+    six = F.rint(scaled)
+    near = (six % 10 == 5) & (F.abs(scaled - six) < 1e-5)
+    # bound to names: few numbers get here, and the compiled code of the others stays short
+    down = F.transform(F.array(F.struct(a.alias("a"), six.alias("six"), k.cast("int").alias("k"))), lambda t: _below_tie(t["a"], t["six"], t["k"]))[0]
+    return F.format_string("%.4e", F.when(near, F.when(down, x * (1 - 1e-9)).otherwise(x)).otherwise(x))
+
+
 def row_hashes(df: DataFrame, columns: list[str]) -> DataFrame:
     """(row_hash): md5 of each row's finite numbers at five significant figures, sorted as texts; rows of one number are skipped."""
-    cells = F.filter(F.array(*[F.col(c).cast("double") for c in columns]), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    text = F.array_sort(F.transform(cells, lambda x: F.format_string("%.4e", x)))
-    return df.select(text.alias("t")).where(F.size("t") >= LEAST_CELLS).select(F.md5(F.array_join("t", CELL)).alias("row_hash"))
+    cells = [F.col(c).cast("double") for c in columns]
+    finite = [x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")) for x in cells]
+    enough = sum((F.when(f, 1).otherwise(0) for f in finite), F.lit(0)) >= LEAST_CELLS
+    texts = F.sort_array(F.array(*[F.when(f, five_figures(x)) for f, x in zip(finite, cells)]))
+    return df.where(enough).select(F.md5(F.array_join(texts, CELL)).alias("row_hash"))  # nulls aren't joined
 
 
 def column_fingerprints(df: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
@@ -24,7 +66,7 @@ def column_fingerprints(df: DataFrame, numeric: list[str], categorical: list[str
     categories, md5 over their level counts in order (3 levels or more). Values are counted first, so only distinct ones meet."""
     parts = []
     for c in numeric:
-        value = F.format_string("%.4e", F.col(c).cast("double"))
+        value = five_figures(F.col(c).cast("double"))
         counts = df.where(F.col(c).isNotNull()).groupBy(value.alias("v")).agg(F.count("*").alias("n"))
         item = F.concat_ws(":", "v", "n")
         parts.append(counts.agg(F.count("*").alias("k"), F.md5(F.array_join(F.array_sort(F.collect_list(item)), CELL)).alias("fingerprint")).where(F.col("k") >= LEAST_DISTINCT).select(F.lit(c).alias("column"), "fingerprint"))
@@ -112,7 +154,7 @@ def table_hashes(tables: dict[str, tuple[DataFrame, list[str]]]) -> tuple[DataFr
     for name, (df, names) in tables.items():
         hashed = row_hashes(df, names).select(F.lit(name).alias("name"), "row_hash")
         cells = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in names])).alias("c")).select("c.*")
-        counts = cells.where(F.col("x").isNotNull() & ~F.isnan("x") & (F.abs("x") < float("inf"))).groupBy("column", F.format_string("%.4e", "x").alias("v")).agg(F.count("*").alias("n"))
+        counts = cells.where(F.col("x").isNotNull() & ~F.isnan("x") & (F.abs("x") < float("inf"))).groupBy("column", five_figures(F.col("x")).alias("v")).agg(F.count("*").alias("n"))
         number = F.conv(F.substring(F.md5(F.concat_ws(":", "v", "n")), 1, 15), 16, 10).cast("decimal(38,0)")
         prints = counts.groupBy("column").agg(F.concat_ws("-", F.count("*"), F.sum(number)).alias("fingerprint")).select(F.lit(name).alias("name"), "column", "fingerprint")
         rows, columns = (hashed, prints) if rows is None else (rows.unionByName(hashed), columns.unionByName(prints))
