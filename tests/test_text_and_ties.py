@@ -15,3 +15,15 @@ def test_five_figures_are_those_of_c(spark):
     got = O.row_hashes(spark.createDataFrame([(v,) for v in values], "x double").selectExpr("x", "x AS y"), ["x", "y"])
     want = sorted(hashlib.md5(f"{v:.4e}\x1f{v:.4e}".encode()).hexdigest() for v in values)
     assert sorted(r.row_hash for r in got.collect()) == want
+
+
+def test_fingerprints_of_keys_of_six_figures(spark):
+    df = spark.createDataFrame([(k, float(k)) for k in range(100005, 100305, 10)], "k bigint, x double")
+    counts: dict[str, int] = {}
+    for k in range(100005, 100305, 10):
+        counts[f"{k:.4e}"] = counts.get(f"{k:.4e}", 0) + 1
+    number = sum(int(hashlib.md5(f"{v}:{n}".encode()).hexdigest()[:15], 16) for v, n in counts.items())
+    _, columns = O.table_hashes({"t": (df, ["k", "x"])})
+    assert {r.fingerprint for r in columns.collect()} == {f"{len(counts)}-{number}"}
+    got = O.column_fingerprints(df, ["x"], []).first().fingerprint
+    assert got == hashlib.md5("\x1f".join(sorted(f"{v}:{n}" for v, n in counts.items())).encode()).hexdigest()
