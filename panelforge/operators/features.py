@@ -122,16 +122,31 @@ def smearing(df: DataFrame, residual: str, limit: float = 3.0) -> DataFrame:
 
 
 def fisher_exact(a: Column, b: Column, c: Column, d: Column) -> Column:
-    """Two-sided p of the table (a b / c d): tables of the same margins that are no likelier than this one. log(n!) is a sum
-    of logarithms, so margins should be thousands at most."""
-    a, b, c, d = (x.cast("int") for x in (a, b, c, d))
-    lf = lambda n: F.aggregate(F.sequence(F.lit(0), n), F.lit(0.0), lambda s, i: s + F.when(i > 1, F.log(i.cast("double"))).otherwise(0.0))
+    """Two-sided p of the table (a b / c d): the share of tables of the same margins that are no likelier than this one.
+
+    Likelihoods are taken from each table to the next, on both sides of the likeliest one, so the work grows with the
+    smaller margin.
+    """
+    a, b, c, d = (x.cast("bigint") for x in (a, b, c, d))
     row, col, n = a + b, a + c, a + b + c + d
-    fixed = lf(row) + lf(c + d) + lf(col) + lf(b + d) - lf(n)
-    logp = lambda x: fixed - lf(x) - lf(row - x) - lf(col - x) - lf(n - row - col + x)
-    support = F.sequence(F.greatest(F.lit(0), row + col - n), F.least(row, col))
-    here = logp(a)
-    return F.least(F.lit(1.0), F.aggregate(F.transform(support, logp), F.lit(0.0), lambda s, x: s + F.when(x <= here + 1e-7, F.exp(x)).otherwise(0.0)))
+    least, most = F.greatest(F.lit(0).cast("bigint"), row + col - n), F.least(row, col)
+    top = F.greatest(least, F.least(most, F.floor((row + 1.0) * (col + 1.0) / (n + 2.0))))
+    # log of the likelihood with x + 1 over that with x
+    step = lambda x: F.log((row - x).cast("double") * (col - x).cast("double")) - F.log((x + 1).cast("double") * (n - row - col + x + 1).cast("double"))
+    between = lambda i, j: F.when(i < j, F.sequence(i, j - 1)).otherwise(F.array().cast("array<bigint>"))
+    along = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + step(x))
+    here = along(between(top, a)) - along(between(a, top))
+
+    def walk(state: Column, change: Column) -> Column:
+        logp = state["logp"] + change
+        p = F.exp(logp)
+        return F.struct(logp.alias("logp"), state["here"].alias("here"), (state["all"] + p).alias("all"), (state["rare"] + F.when(logp <= state["here"] + 1e-7, p).otherwise(0.0)).alias("rare"))
+
+    start = F.struct(F.lit(0.0).alias("logp"), here.alias("here"), F.lit(0.0).alias("all"), F.lit(0.0).alias("rare"))
+    up = F.aggregate(between(top, most), walk(start, F.lit(0.0)), lambda s, x: walk(s, step(x)))
+    down = F.aggregate(F.reverse(between(least, top)), start, lambda s, x: walk(s, -step(x)))
+    sides = F.transform(F.array(F.struct(up.alias("up"), down.alias("down"))), lambda s: (s["up"]["rare"] + s["down"]["rare"]) / (s["up"]["all"] + s["down"]["all"]))
+    return F.least(F.lit(1.0), sides[0])
 
 
 def latest_part(df: DataFrame, time: str, share: float, embargo: float) -> DataFrame:

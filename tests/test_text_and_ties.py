@@ -1,8 +1,13 @@
 """Numbers as texts, near ties of distances, tests of counts and bootstraps: each as SQL has it."""
 
 import hashlib
+import math
 import random
+import time
 
+from pyspark.sql import functions as F
+
+from panelforge.operators import features as X
 from panelforge.operators import overlap as O
 
 
@@ -27,3 +32,29 @@ def test_fingerprints_of_keys_of_six_figures(spark):
     assert {r.fingerprint for r in columns.collect()} == {f"{len(counts)}-{number}"}
     got = O.column_fingerprints(df, ["x"], []).first().fingerprint
     assert got == hashlib.md5("\x1f".join(sorted(f"{v}:{n}" for v, n in counts.items())).encode()).hexdigest()
+
+
+def test_exact_test_of_large_margins_is_linear(spark):
+    tables = [(3, 1, 1, 3), (0, 0, 0, 0), (0, 5, 7, 0), (450, 410, 2700, 2650), (2, 90, 400, 31), (23400, 30600, 70800, 91200), (1, 20000, 20000, 70000)]
+
+    def exact(a, b, c, d):
+        row, col, n = a + b, a + c, a + b + c + d
+        low, high = max(0, row + col - n), min(row, col)
+        top = max(low, min(high, (row + 1) * (col + 1) // (n + 2)))
+        logs, at = {top: 0.0}, 0.0
+        for x in range(top, high):
+            at += math.log((row - x) * (col - x) / ((x + 1) * (n - row - col + x + 1)))
+            logs[x + 1] = at
+        at = 0.0
+        for x in range(top - 1, low - 1, -1):
+            at -= math.log((row - x) * (col - x) / ((x + 1) * (n - row - col + x + 1)))
+            logs[x] = at
+        assert len(logs) == high - low + 1
+        return math.fsum(math.exp(v) for v in logs.values() if v <= logs[a] + 1e-7) / math.fsum(map(math.exp, logs.values()))
+
+    began = time.time()
+    got = spark.createDataFrame(tables, "a bigint, b bigint, c bigint, d bigint").repartition(1).select("a", "b", "c", "d", X.fisher_exact(*map(F.col, "abcd")).alias("p")).collect()
+    assert time.time() - began < 60  # from sums of logarithms for each table: hours
+    for r in got:
+        assert abs(r.p - exact(r.a, r.b, r.c, r.d)) < 1e-9
+    assert abs(next(r.p for r in got if r.a == 3) - 34 / 70) < 1e-12
