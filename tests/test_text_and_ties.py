@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelforge.operators import features as X
 from panelforge.operators import overlap as O
+from panelforge.operators import retrieval as N
 
 
 def test_five_figures_are_those_of_c(spark):
@@ -58,3 +59,25 @@ def test_exact_test_of_large_margins_is_linear(spark):
     for r in got:
         assert abs(r.p - exact(r.a, r.b, r.c, r.d)) < 1e-9
     assert abs(next(r.p for r in got if r.a == 3) - 34 / 70) < 1e-12
+
+
+def near_ties(spark, **how):
+    """Queries at 0; rows at distances that differ from the tenth decimal on, the larger ids nearer."""
+    rows = [(r, label, [1.0 + (10 - r) * 3e-11, 0.0]) for r, label in zip(range(1, 9), [0, 1, 0, 1, 0, 1, 0, 1])]
+    context = spark.createDataFrame([*rows, (9, 0, [3.0, 0.0]), (10, 1, [0.5, 0.0])], "r bigint, y int, v array<double>")
+    queries = spark.createDataFrame([(100, [0.0, 0.0])], "q bigint, v array<double>")
+    return N.nearest(context, queries, "v", "r", "q", "y", **how)
+
+
+def test_nearest_rows_of_equal_rounded_distance_come_by_id(spark):
+    assert [(r.r, r.rank) for r in near_ties(spark, k=4).orderBy("rank").collect()] == [(10, 1), (1, 2), (2, 3), (3, 4)]
+
+
+def test_nearest_rows_of_a_class_come_by_id(spark):
+    got = near_ties(spark, k=0, per_class={0: 2, 1: 3}).collect()
+    assert {(r.y, r.r) for r in got} == {(0, 1), (0, 3), (1, 10), (1, 2), (1, 4)}
+
+
+def test_floor_of_positives_goes_by_rounded_distances(spark):
+    got = N.with_floor(near_ties(spark, k=4), near_ties(spark, k=0, per_class={0: 1, 1: 3}).where("y = 1"), "q", "r", "y", 4, 3)
+    assert {r.r for r in got.collect()} == {1, 2, 4, 10}
