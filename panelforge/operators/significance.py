@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.metrics import hanley_mcneil, holm
-from .bootstrap import poisson_weight
+from .bootstrap import drawn_levels, poisson_weight
 from .quantiles import matches
 from .running import running_sum
 from .tables import settled
@@ -41,16 +41,12 @@ def rank_difference(scores: DataFrame, by: list[str], group: str, y: str, a: str
     """(by, diff, drawn, low, high, p): AUC ("auc") or average precision ("ap") of score a less that of score b on the same
     rows, with a bootstrap over whole groups.
 
-    A draw weights each group by a Poisson(1) number from a hash of (draw, group), on both scores alike. Rows are counted
-    by (group, score) first, then by score in each draw; running sums over the scores of a draw are cut into ranges.
+    A draw weights each group by a Poisson(1) number from a hash of (draw, group), on both scores alike. Rows are added up
+    by score for all draws at once; running sums over the scores of a draw are cut into ranges.
     """
-    one = lambda which, p: F.struct(F.lit(which).alias("which"), F.col(p).cast("double").alias("p"))
-    rows = scores.where(F.col(y).isNotNull() & F.col(a).isNotNull() & F.col(b).isNotNull())
-    counted = rows.select(*by, F.col(group).alias("__g"), F.col(y).cast("bigint").alias("__y"), F.explode(F.array(one("a", a), one("b", b))).alias("s")).groupBy(*by, "__g", "s").agg(F.count("*").alias("n"), F.sum("__y").alias("pos"))
-    drawn = settled(counted, "counted").select(*by, "__g", "s.which", "s.p", "n", "pos", F.explode(F.sequence(F.lit(0), F.lit(draws))).alias("draw"))
-    weight = F.when(F.col("draw") == 0, 1).otherwise(poisson_weight("draw", "__g"))
+    rows = scores.where(F.col(y).isNotNull() & F.col(a).isNotNull() & F.col(b).isNotNull()).select(*by, F.col(group).alias("__g"), F.col(y).alias("__y"), F.col(a).alias("a"), F.col(b).alias("b"))
     keys = [*by, "draw", "which"]
-    levels = settled(drawn.withColumn("w", weight).where("w > 0").groupBy(*keys, "p").agg(F.sum(F.col("w") * F.col("n")).alias("n"), F.sum(F.col("w") * F.col("pos")).alias("pos")), "levels")
+    levels = settled(drawn_levels(rows, by, "__g", "__y", ["a", "b"], draws), "levels")
     run = running_sum(levels, keys, "p", {"cum_n": "n", "cum_pos": "pos"}, descending=True, ranges=8)
     neg, above = F.col("n") - F.col("pos"), (F.col("cum_n") - F.col("n")) - (F.col("cum_pos") - F.col("pos"))
     total = run.groupBy(*keys).agg(F.sum("pos").alias("P"), F.sum(neg).alias("N"), F.sum(F.col("pos") * (above + neg / 2.0)).alias("lost"), F.sum(F.col("pos") * F.col("cum_pos") / F.col("cum_n")).alias("gain"))
@@ -186,23 +182,18 @@ def many_differences(scores: DataFrame, by: list[str], group: str, y: str, names
     all pairs of score columns, with one bootstrap over whole groups, and p-values adjusted as one family.
 
     A group's weight in a draw is a Poisson(1) number made once for each (draw, group) and shared by all units (by),
-    scores and pairs. Rows are counted by (unit, group, score) first; the counts are sent once. A unit (by) with fewer
-    than least_rows rows, or one class only, is left out and doesn't count in the family; rows without y or any of the
-    scores take no part.
+    scores and pairs. Rows are added up by (unit, score) for all draws at once. A unit (by) with fewer than least_rows
+    rows, or one class only, is left out and doesn't count in the family; rows without y or any of the scores take no part.
     """
     rows = scores.where(F.col(y).isNotNull())
     for c in names:
         rows = rows.where(F.col(c).isNotNull())
-    each = [F.struct(F.lit(c).alias("which"), F.col(c).cast("double").alias("p")) for c in names]
-    counted = settled(rows.select(*by, F.col(group).alias("__g"), F.col(y).cast("bigint").alias("__y"), F.explode(F.array(*each)).alias("s")).groupBy(*by, "__g", "s").agg(F.count("*").alias("n"), F.sum("__y").alias("pos")), "counted")
-    whole = counted.where(F.col("s.which") == names[0]).groupBy(*by).agg(F.sum("n").alias("__n"), F.sum("pos").alias("__pos"))
-    usable = whole.where((F.col("__n") >= least_rows) & (F.col("__pos") > 0) & (F.col("__pos") < F.col("__n"))).select(*[F.col(c).alias(f"__u_{c}") for c in by])
-    numbers = F.transform(F.sequence(F.lit(0), F.lit(draws)), lambda d: F.struct(d.alias("draw"), F.when(d == 0, 1).otherwise(poisson_weight(d, "__g")).alias("w")))
-    weights = counted.select("__g").distinct().select(F.col("__g").alias("__k"), F.filter(numbers, lambda x: x["w"] > 0).alias("__w"))
-    kept = counted.join(usable, matches(by, "__u_")) if by else counted.crossJoin(F.broadcast(usable))  # one row or none
-    drawn = kept.join(weights, F.col("__g").eqNullSafe(F.col("__k"))).select(*by, "s.which", "s.p", "n", "pos", F.explode("__w").alias("x"))
     keys = [*by, "draw", "which"]
-    levels = settled(drawn.groupBy(*by, F.col("x.draw").alias("draw"), "which", "p").agg(F.sum(F.col("x.w") * F.col("n")).alias("n"), F.sum(F.col("x.w") * F.col("pos")).alias("pos")), "levels")
+    every = settled(drawn_levels(rows, by, group, y, names, draws), "levels")
+    whole = every.where((F.col("draw") == 0) & (F.col("which") == names[0])).groupBy(*by).agg(F.sum("n").alias("__n"), F.sum("pos").alias("__pos"))
+    usable = whole.where((F.col("__n") >= least_rows) & (F.col("__pos") > 0) & (F.col("__pos") < F.col("__n"))).select(*[F.col(c).alias(f"__u_{c}") for c in by])
+    kept = every.join(usable, matches(by, "__u_")) if by else every.crossJoin(F.broadcast(usable))  # one row or none
+    levels = kept.select(*keys, "p", "n", "pos")
     run = running_sum(levels, keys, "p", {"cum_n": "n", "cum_pos": "pos"}, descending=True, ranges=8)
     neg, above = F.col("n") - F.col("pos"), (F.col("cum_n") - F.col("n")) - (F.col("cum_pos") - F.col("pos"))
     total = run.groupBy(*keys).agg(F.sum("pos").alias("P"), F.sum(neg).alias("N"), F.sum(F.col("pos") * (above + neg / 2.0)).alias("lost"), F.sum(F.col("pos") * F.col("cum_pos") / F.col("cum_n")).alias("gain"))

@@ -7,6 +7,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from panelforge.operators import bootstrap as B
 from panelforge.operators import features as X
 from panelforge.operators import overlap as O
 from panelforge.operators import retrieval as N
@@ -81,3 +82,19 @@ def test_nearest_rows_of_a_class_come_by_id(spark):
 def test_floor_of_positives_goes_by_rounded_distances(spark):
     got = N.with_floor(near_ties(spark, k=4), near_ties(spark, k=0, per_class={0: 1, 1: 3}).where("y = 1"), "q", "r", "y", 4, 3)
     assert {r.r for r in got.collect()} == {1, 2, 4, 10}
+
+
+def test_draws_are_summed_by_score_before_they_are_sent(spark, monkeypatch):
+    """The bootstrap's rows that go on are sums by score, not rows times draws; equal to weights of Spark's own hash."""
+    draw = random.Random(5)
+    rows = [(None if i % 7 == 0 else f"u{i % 3}", None if i % 11 == 0 else draw.randrange(40) if i % 2 else 99, i % 3 == 0, draw.randrange(6) / 4, draw.randrange(900) / 7) for i in range(12_000)]
+    df = spark.createDataFrame(rows, "u string, k int, y boolean, a double, b double").withColumn("y", F.col("y").cast("int"))
+    held = B.drawn_levels(df, ["u"], "k", "y", ["a", "b"], 6)
+    each = [F.struct(F.lit(c).alias("which"), F.col(c).alias("p")) for c in "ab"]
+    plain = df.select("*", F.explode(F.array(*each)).alias("s"), F.explode(F.sequence(F.lit(0), F.lit(6))).alias("draw")).withColumn("w", F.when(F.col("draw") == 0, 1).otherwise(B.poisson_weight("draw", "k"))).where("w > 0")
+    want = plain.groupBy("u", "draw", "s.which", "s.p").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("y")).alias("pos"))
+    key = lambda r: repr(tuple(r))
+    assert sorted(map(key, held.collect())) == sorted(map(key, want.collect()))
+    assert "mapinarrow" in held._jdf.queryExecution().toString().lower()
+    monkeypatch.setattr(B, "HELD", 70)  # sums are given out several times
+    assert sorted(map(key, B.drawn_levels(df, ["u"], "k", "y", ["a", "b"], 6).collect())) == sorted(map(key, want.collect()))
