@@ -191,7 +191,7 @@ def nearest(index: DataFrame, rows: DataFrame, queries: Column, id_col: str = "v
     """
     asked = through_table(query_blocks(usable(rows, id_col, vector_col).where(queries).dropDuplicates(), trees), "queries")
     total = index.select(F.sum(F.octet_length("ids") / 8)).first()[0] or 1.0
-    near = against_all(index, asked, search_blocks(k, trees, max(share, least / total)), "query_id bigint, vec_id bigint, score double")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    top = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    best = lambda near: near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    top = against_all(index, asked, search_blocks(k, trees, max(share, least / total)), "query_id bigint, vec_id bigint, score double", best)
     return top.select("query_id", "rank", F.nullif("vec_id", F.lit(int(NO_ID))).alias("vec_id"), "score")

@@ -235,11 +235,11 @@ def hard_negatives(rows: DataFrame, anchors: Column, id_col: str = "vec_id", lab
     own = own_rows(clean.withColumn("v", components(F.col("v"), scale)))
     blocks = through_table(pack(own, ROWS), "vectors")
     chosen = through_table(clean.where(anchors).withColumn("v", components(F.col("v"), scale)).dropDuplicates().withColumn("aid", F.monotonically_increasing_id()), "anchors")
-    near = against_all(blocks, through_table(pack(chosen, ANCHORS, extra=True), "anchor-blocks"), find_positives(positives), "aid bigint, id bigint, score bigint")
-    near = through_table(ranked(near, ["aid"], positives), "positives")
+    near = against_all(blocks, through_table(pack(chosen, ANCHORS, extra=True), "anchor-blocks"), find_positives(positives), "aid bigint, id bigint, score bigint", lambda x: ranked(x, ["aid"], positives))
+    near = through_table(near, "positives")
     scores = near.groupBy("aid").agg(F.sort_array(F.collect_list(F.struct(F.col("rank"), "score"))).alias("s")).select("aid", F.col("s.score").alias("scores"))  # `positives` of them
     with_scores = through_table(pack(chosen.join(scores, "aid"), ANCHORS, extra=True), "anchor-blocks")
-    far = ranked(against_all(blocks, with_scores, find_negatives(negatives, low_share), "aid bigint, k int, id bigint, score bigint"), ["aid", "k"], negatives)
+    far = against_all(blocks, with_scores, find_negatives(negatives, low_share), "aid bigint, k int, id bigint, score bigint", lambda x: ranked(x, ["aid", "k"], negatives))
     named = near.select("aid", (F.col("rank") - 1).alias("k"), F.col("id").alias("positive_id"), F.col("score").alias("positive_score")).join(chosen.select("aid", F.col("id").alias("anchor_id")), "aid")
     out = far.join(named, ["aid", "k"])
     none = lambda c: F.nullif(F.col(c), F.lit(int(NO_ID))).alias(c)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -9,11 +10,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import partitions
+from .cluster import partitions, through_table
 
 #: Stands for a null id: the last of ties.
 NO_ID = np.iinfo(np.int64).max
-#: So many blocks of the stated set are broadcast, of a size that is bounded; more of them are dealt out by slices.
+#: So many blocks of the stated set are broadcast at once, of a size that is bounded; more of them take turns.
 BROADCAST_BLOCKS = 64
 
 
@@ -57,15 +58,22 @@ def gathered(batches, most: int) -> Iterator[pa.RecordBatch]:
         yield pa.Table.from_batches(held).combine_chunks().to_batches(max_chunksize=most)[0]
 
 
-def against_all(blocks: DataFrame, stated: DataFrame, run: Callable, schema: str) -> DataFrame:
-    """run over the pairs of a block of all rows and a block of the stated set; of equal dimension, in column `dim`.
+def against_all(blocks: DataFrame, stated: DataFrame, run: Callable, schema: str, best: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """best of run over the pairs of a block of all rows and a block of the stated set; of equal dimension, in column `dim`.
 
-    Few blocks of the stated set are broadcast, by count. More of them are sent to as many slices as there are shuffle
-    partitions, each of which has its share of the blocks: so neither side is in one place, and rows never make pairs.
+    best keeps what is wanted of each stated row, also of what it kept before. Few blocks of the stated set are
+    broadcast, by count. More of them take turns, some BROADCAST_BLOCKS / 2 at a time (dealt out by hash), and what is best
+    of a turn's is written: no task holds more of the stated set than a turn has, nor is either side sent anywhere.
     """
-    few = stated.count() <= BROADCAST_BLOCKS
-    slices = 1 if few else partitions(blocks)
-    left = blocks.withColumn("slice", F.pmod(F.xxhash64("block"), F.lit(slices).cast("long")))
-    right = stated.withColumnsRenamed({c: f"q_{c}" for c in stated.columns if c != "dim"}).withColumn("slice", F.explode(F.expr(f"sequence(0L, {slices - 1}L)")))
-    pairs = left.join(F.broadcast(right) if few else right, ["slice", "dim"])
-    return pairs.mapInArrow(run, schema)
+    asked = stated.withColumnsRenamed({c: f"q_{c}" for c in stated.columns if c != "dim"})
+    count = stated.count()
+    turns = 1 if count <= BROADCAST_BLOCKS else -(-count // max(1, BROADCAST_BLOCKS // 2))
+
+    def of(part: DataFrame) -> DataFrame:
+        return blocks.join(F.broadcast(part), "dim").mapInArrow(run, schema)
+
+    if turns == 1:
+        return best(of(asked))
+    turn = F.pmod(F.xxhash64("q_block"), F.lit(turns).cast("long"))
+    each = [of(asked.where(turn == i)) for i in range(turns)]
+    return best(functools.reduce(DataFrame.unionByName, [through_table(best(e).select(*e.columns), "turn") for e in each]))

@@ -89,3 +89,22 @@ def test_ranges_go_up_together_until_there_are_enough():
         assert [(b, e) for b, e in zip(begin[i], end[i]) if e > b] == [(s.index(True), s.index(True) + sum(s)) for s in same if any(s)]
     begin, end = forest.candidates(keys, query, 1e9)
     assert (end - begin == 500).all()
+
+
+def test_many_blocks_of_queries_take_turns(spark, monkeypatch):
+    """Each block meets each block of queries once, and no task is sent all of them: nothing is joined by a shuffle."""
+    monkeypatch.setattr(vectors, "BROADCAST_BLOCKS", 4)
+    blocks = spark.range(7).select(F.col("id").alias("block"), F.lit(2).alias("dim"))
+    seen = []
+
+    def met(batches):
+        for batch in batches:
+            yield batch.select(["block", "q_block"])
+
+    def best(pairs):
+        seen.append(pairs._jdf.queryExecution().executedPlan().toString())
+        return pairs.distinct()
+
+    got = vectors.against_all(blocks, blocks.limit(7).union(spark.range(7, 11).select("id", F.lit(2))), met, "block bigint, q_block bigint", best)
+    assert sorted(map(tuple, got.collect())) == [(a, b) for a in range(7) for b in range(11)]
+    assert len(seen) == 7 and not any("SortMergeJoin" in plan or "Generate" in plan for plan in seen)  # six turns, and what they kept
